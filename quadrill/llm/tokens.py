@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import regex
 
-#: Fixed value: the pattern by which byte-level BPE vocabularies of this kind
-#: cut a text before they merge.
-BYTE_LEVEL_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters, numbers and white space of Latin-1, and with them the
+#: pattern by which byte-level BPE vocabularies of this kind cut a text before
+#: they merge. Explicit classes are three times as fast as Unicode properties.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+NUMBERS = "0-9²³¹¼½¾"
+SPACES = "\t-\r \x85\xa0"
+LATIN_CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
 class Encoder:
@@ -27,7 +32,7 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most_kept: int = 300_000):
+    def __init__(self, path: str, most_kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task a core already
         from tokenizers import Tokenizer
 
@@ -46,7 +51,7 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
-        self.cut = regex.compile(BYTE_LEVEL_CUT).findall
+        self.cut = re.compile(LATIN_CUT).findall
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -73,11 +78,11 @@ class Encoder:
         if len(self.kept) > self.most_kept:
             self.kept.clear()
         kept = self.kept
-        new = list({w for words in cuts if words for w in words if w not in kept})
+        new = [w for w in set(chain.from_iterable(words for words in cuts if words)) if w not in kept]
         if new:
             kept.update(zip(new, self._whole(new), strict=True))
         rest = iter(self._whole([t for t, words in zip(texts, cuts, strict=True) if words is None]))
-        return [next(rest) if words is None else b"".join([kept[w] for w in words]) for words in cuts]
+        return [next(rest) if words is None else b"".join(map(kept.__getitem__, words)) for words in cuts]
 
 
 @lru_cache(maxsize=2)
