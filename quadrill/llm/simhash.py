@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -104,24 +104,40 @@ def golay() -> Golay:
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, side and row of each fingerprint's keys.
 
-    At most 3 bits differ over three segments, so at most one segment has more
-    than one of them: some pair of segments (i, j) has at most one each. Then
-    the codeword of a's segment i is among those near b's segment i, and the
-    codeword of b's segment j among those near a's. Side 0 of b holds (each near
-    b_i, that of b_j), side 1 of a holds (that of a_i, each near a_j): a and b
-    meet in a key, with at most 6 keys a side and pair.
+    At most 3 bits differ over three segments. So either some segment i has
+    none of them and another, j, at most one, or each segment has just one.
+    A segment with at most one: a's codeword is among those near b's segment,
+    and b's among those near a's. Side 0 of b and side 1 of a meet in
+    (class, segment i, codeword of j), where side 0 gives j's own codeword and
+    side 1 each near one; or in (class, three codewords), where side 0 gives the
+    near ones of the first and third segment and side 1 those of the second.
+    Some 70 keys a fingerprint in all, each of 34 bits or more, so that few
+    fingerprints meet by chance.
     """
     code, u = golay(), fps.view(np.uint64)
-    own, near = [], []
+    whole, own, near = [], [], []
     for start, bits in SEGMENTS:
         words = ((u >> np.uint64(start)) & np.uint64((1 << bits) - 1)).astype(np.int32)
+        whole.append(words.astype(np.int64))
         own.append(code.index(words).astype(np.int64))
         near.append(code.near(words, bits).astype(np.int64))
     out = []
-    for k, (i, j) in enumerate(combinations(range(3), 2)):
-        for side, (many, one, up_many, up_one) in enumerate(((near[i], own[j], 12, 0), (near[j], own[i], 0, 12))):
-            row, at = np.nonzero(many >= 0)
-            out.append(((k << 24) | (many[row, at] << up_many) | (one[row] << up_one), np.full(len(row), side, np.int8), row))
+
+    def give(key: np.ndarray, side: int, row: np.ndarray) -> None:
+        out.append((key, np.full(len(row), side, np.int8), row))
+
+    every = np.arange(len(fps))
+    for k, (i, j) in enumerate(permutations(range(3), 2)):
+        head = (k << 40) | (whole[i] << 12)
+        give(head | own[j], 0, every)
+        row, at = np.nonzero(near[j] >= 0)
+        give(head[row] | near[j][row, at], 1, row)
+    row, at = np.nonzero(near[0] >= 0)
+    both, again = np.nonzero(near[2][row] >= 0)
+    row, at = row[both], at[both]
+    give((6 << 40) | (near[0][row, at] << 24) | (own[1][row] << 12) | near[2][row, again], 0, row)
+    row, at = np.nonzero(near[1] >= 0)
+    give((6 << 40) | (own[0][row] << 24) | (near[1][row, at] << 12) | own[2][row], 1, row)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
