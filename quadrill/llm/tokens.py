@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -52,16 +52,32 @@ class Encoder:
             and not pre.get("add_prefix_space")
         )
         self.cut = re.compile(LATIN_CUT).findall
+        self.plain = re.compile(rf" [{LETTERS}]+").fullmatch
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Like ``_whole``; words of a space and letters go as one text, which is cut just so."""
+        out = dict.fromkeys(words, b"")
+        joined = [w for w in words if self.plain(w)]
+        for at in range(0, len(joined), 4096):
+            some = joined[at : at + 4096]
+            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, word = np.array(found.ids, dtype=self.dtype), np.array(found.word_ids)
+            ends = (np.flatnonzero(np.diff(word, prepend=-1, append=-1)) * self.dtype.itemsize).tolist()
+            all_ids = ids.tobytes()
+            out.update(zip(some, [all_ids[i:j] for i, j in pairwise(ends)], strict=True))
+        rest = [w for w in words if not self.plain(w)]
+        out.update(zip(rest, self._whole(rest), strict=True))
+        return list(out.values())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            out += self._some(texts[at : at + 64])
+        for at in range(0, len(texts), 256):
+            out += self._some(texts[at : at + 256])
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
@@ -80,7 +96,7 @@ class Encoder:
         kept = self.kept
         new = [w for w in set(chain.from_iterable(words for words in cuts if words)) if w not in kept]
         if new:
-            kept.update(zip(new, self._whole(new), strict=True))
+            kept.update(zip(new, self._words(new), strict=True))
         rest = iter(self._whole([t for t, words in zip(texts, cuts, strict=True) if words is None]))
         return [next(rest) if words is None else b"".join(map(kept.__getitem__, words)) for words in cuts]
 
