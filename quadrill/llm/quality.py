@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrill.llm.langid import held_out
+from quadrill.llm.store import spare_name
 from quadrill.llm.words import batches, hashed_words
 
 #: Labelled documents that are learned from, at most half of each class.
@@ -184,11 +186,8 @@ def score(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text:
 
     if not keep:
         return docs.select(doc_id, text).mapInArrow(of, "doc_id long, score double")
-    from quadrill.llm.store import spare_name
-
     new = spare_name(docs, "score")
-    schema = docs.schema.add(new, "double")
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField(new, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:

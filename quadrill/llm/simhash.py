@@ -236,12 +236,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each near-duplicate group.
+    """The rows of ``docs`` less all but one of each near-duplicate group, with all their columns.
 
-    The document with the group's smallest id stays; of rows that repeat that
-    id, one stays. Documents without an id have nothing to be known by and stay.
+    Every row is a document of its own, whether it repeats an id or has none.
+    The row with a group's smallest id stays (of rows that repeat it, or where
+    no row has one, the first).
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
-    one = spare_name(docs, "kept")
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(one)).distinct()
-    return docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).join(stay, F.col(doc_id) == F.col(one), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    row = spare_name(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, doc_id=row, text=text).select(F.col("doc_id").alias("at"), "component_id")
+    ids = numbered.select(F.col(row).alias("at"), F.col(f"`{doc_id}`").alias("id"))
+    stay = found.join(ids, "at").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least")).select(F.col("least.at").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)
