@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 from collections import Counter
@@ -61,7 +60,8 @@ class Model:
             chosen = [w for w, times in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: GRAMS if n else WORDS] if times > 1 or n]
             tables.append({w: k for k, w in enumerate(chosen)})
             # A count of half keeps what a language has not shown possible.
-            logs.append(np.array([[math.log((c[w] + 0.5) / (sum(c.values()) + 0.5 * len(total))) for c in of] for w in chosen], dtype=np.float64).reshape(len(chosen), len(langs)))
+            seen = np.array([[c[w] for c in of] for w in chosen], dtype=np.float64).reshape(len(chosen), len(langs))
+            logs.append(np.log(seen + 0.5) - np.log([sum(c.values()) + 0.5 * len(total) for c in of]))
         return cls(langs, tables, logs)
 
     def unseen(self, word: str) -> np.ndarray:
