@@ -1,0 +1 @@
+"""Combined vector, spatial and label search on Spark DataFrames."""
