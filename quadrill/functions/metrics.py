@@ -105,14 +105,16 @@ def normalise(a: Vector) -> Column:
 
 def cosine(a: Vector, b: Vector) -> Column:
     """``max(0, 1 - cos)``; 1 where a vector has no length."""
-    values = _literal(b)
+    values, x = _literal(b), as_column(a)
     if values is not None and 0 < len(values) <= UNROLL and _literal(a) is None:
         v = _col(a)
         n2 = _tree([v[i].cast("double") * v[i].cast("double") for i in range(len(values))])
-        product = F.lit(math.fsum(x * x for x in values)) * n2
+        product, size = F.lit(math.fsum(y * y for y in values)) * n2, F.lit(len(values))
+        x = v
     else:
-        product = norm_squared(a) * norm_squared(b)
-    return F.when(product < EPSILON * EPSILON, same_dims(F.lit(1.0), as_column(a), F.size(as_column(b)))).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(product)))
+        product, size = norm_squared(a) * norm_squared(b), F.size(as_column(b))
+    apart = F.when(product < EPSILON * EPSILON, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(product)))
+    return F.when(size.isNull() | (size < 0), F.lit(None).cast("double")).otherwise(same_dims(F.when(product.isNotNull(), apart), x, size))
 
 
 def distance(metric: Metric | str | int, a: Vector, b: Vector) -> Column:

@@ -101,7 +101,8 @@ class ShardGraph:
                 if len(chosen) == self.degree:
                     break
                 to_k = self._between(int(rows[k]), rows)
-                ratio = np.divide(to_p, to_k, out=np.full(len(rows), np.inf), where=to_k > 0)
+                # Of points in one place none makes another needless.
+                ratio = np.divide(to_p, to_k, out=np.where(to_p > 0, np.inf, 1.0), where=to_k > 0)
                 if shared is not None:
                     ratio = np.where([s <= self.labels[rows[k]] for s in shared], ratio, 0.0)
                 worst = np.maximum(worst, ratio)
