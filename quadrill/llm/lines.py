@@ -48,7 +48,9 @@ def _chunks(lines: str, divisor: int, least_chars: int) -> str:
 
 def repeated(keyed: DataFrame, key: str, text: str, *, sentences: bool = True, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(h, key, s, n) of every chunk whose hash occurs more than once."""
-    chunks = keyed.select(F.col(key), F.expr(f"inline({_chunks(_lines(text, sentences), divisor, least_chars)})"))
+    # Written, as it is read twice and costs more to make than to keep: the
+    # chunks of a text lie together and take few bytes besides the hash.
+    chunks = materialise(keyed.select(F.col(key), F.expr(f"inline({_chunks(_lines(text, sentences), divisor, least_chars)})")), "chunks")
     counts = chunks.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     return chunks.join(counts, "h")
 
@@ -64,7 +66,7 @@ def _same_bytes(keyed: DataFrame, found: DataFrame, key: str, text: str, sentenc
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: bool = True, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with a new text each, and columns n_lines and n_removed.
+    """``docs`` with a new text each, and a column n_removed: how many lines went.
 
     Lines end at line ends and, unless ``sentences`` is false, at sentence ends.
     Of every chunk that repeats anywhere, within a text or across texts, one
@@ -73,7 +75,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", senten
     the hash have been compared; a hash whose chunks differ removes nothing.
     Lines are compared without the white space that ends them.
 
-    A null text stays null with no line. Rows that repeat both id and text count
+    A null text stays null. Rows that repeat both id and text count
     as one document: a chunk that only they hold is not repeated among them,
     and each gets the same result. An empty table gives no rows. Columns that
     ``docs`` has stay, whatever their names.
@@ -81,7 +83,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", senten
     Counts are aggregated before they are shuffled, and no join needs the rows
     of a chunk in one task, so a chunk that very many documents hold is split.
     """
-    key, n_lines, n_removed = spare_name(docs, "key"), spare_name(docs, "n_lines"), spare_name(docs, "n_removed")
+    key, n_removed = spare_name(docs, "key"), spare_name(docs, "n_removed")
     keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
     distinct = keyed.select(key, F.col(text).alias("text"))
     found = materialise(repeated(distinct, key, "text", sentences=sentences, divisor=divisor, least_chars=least_chars).distinct(), "repeated-chunks")
@@ -100,4 +102,4 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", senten
     removed = F.coalesce(F.expr("aggregate(gone, 0, (n, g) -> n + g.e - g.s)"), F.lit(0))
     new: dict[str, Column] = {c: F.col(f"`{c}`") for c in docs.columns}
     new[text] = F.when(F.col("gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
-    return out.select(*(x.alias(c) for c, x in new.items()), F.when(F.col(f"`{text}`").isNull() | (F.col(f"`{text}`") == ""), 0).otherwise(F.size(F.expr(lines))).alias(n_lines), removed.alias(n_removed))
+    return out.select(*(x.alias(c) for c, x in new.items()), removed.alias(n_removed))

@@ -49,11 +49,11 @@ def brute(rows, least=60, divisor=2):
 
 
 def run(spark, rows, **options):
-    df = spark.createDataFrame([(*r, "a", 3, 0) for r in rows], "doc_id long, text string, h string, key int, n_lines int")
+    df = spark.createDataFrame([(*r, "a", 3, 0) for r in rows], "doc_id long, text string, h string, key int, n_removed int")
     out = lines.dedup(df, **options)
-    assert out.columns == [*df.columns, "n_lines_", "n_removed"]
+    assert out.columns == [*df.columns, "n_removed_"]
     keys = {(r.doc_id, r.text): r.k for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
-    return df, out.collect(), keys
+    return out.drop("n_removed").withColumnRenamed("n_removed_", "n_removed").collect(), keys
 
 
 def sentence(rng):
@@ -76,7 +76,7 @@ def corpus(rng):
 def test_against_brute_force(spark, least):
     rows = corpus(random.Random(1))
     rows += [(100, rows[1][1]), (100, rows[1][1]), (101, None), (102, ""), (None, rows[2][1]), (103, "Same line here again and again.\n" * 3000), (104, "\n\n\n"), (104, rows[4][1] + "\n")]
-    _, got, keys = run(spark, rows, least_chars=least)
+    got, keys = run(spark, rows, least_chars=least)
     want = brute([(k, t) for (_, t), k in keys.items()], least)
     assert len(got) == len(rows)
     before = defaultdict(list)
@@ -91,7 +91,7 @@ def test_repeats_go_and_the_rest_stays(spark):
     rng = random.Random(5)
     passage = " ".join(sentence(rng) + "." for _ in range(9))
     rows = [(k, f"{sentence(rng)} {sentence(rng)}. {passage} {sentence(rng)}.\n{sentence(rng)}.") for k in range(30)] + [(99, "\n".join(sentence(rng) for _ in range(20)))]
-    _, got, _ = run(spark, rows)
+    got, _ = run(spark, rows)
     changed = [r for r in got if r.n_removed]
     assert len(changed) == 29 and all(r.n_removed >= 6 for r in changed)
     assert {r.doc_id: r.text for r in got}[99] == rows[-1][1]
