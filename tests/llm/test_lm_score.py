@@ -52,7 +52,7 @@ def test_planes():
         assert lm_score.from_planes(lm_score.planes(values), len(values)).tolist() == values.tolist()
 
 
-@pytest.mark.parametrize(("order", "chars", "bucket"), [(3, 6_000_000, 4_000_000), (3, 900, 100), (2, 900, 100), (1, 3000, 1000)])
+@pytest.mark.parametrize(("order", "chars", "bucket"), [(3, 6_000_000, 4_000_000), (3, 900, 100), (4, 900, 100), (2, 900, 100), (1, 3000, 1000)])
 def test_against_brute_force(spark, order, chars, bucket):
     rng = random.Random(3)
     words = [a + b for a in "abcdefg" for b in "xyz"]
