@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrill.llm.store import bounded_sample
+
 #: Labelled rows that are learned from, at most; the rows of least hash.
 SAMPLE = 4000
 #: Entries of the word table and of the table of each n-gram length, at most.
@@ -103,8 +105,10 @@ class Model:
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> bytes:
     """A model of at most ``sample`` labelled rows, learned in one executor task."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != "")).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"))
-    some = rows.orderBy("h", "lang").limit(sample)
+    known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != ""))
+    total = known.count()
+    rows = known.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"))
+    some = bounded_sample(rows, F.col("h"), sample, total)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.learn(pair for b in batches for pair in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrill.llm.langid import held_out
-from quadrill.llm.store import spare_name
+from quadrill.llm.store import bounded_sample, spare_name
 from quadrill.llm.words import batches, hashed_words
 
 #: Labelled documents that are learned from, at most half of each class.
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         return None
     some = None
     for y in (0, 1):
-        half = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2)
+        half = bounded_sample(known.where(F.col("y") == y), F.xxhash64("id"), sample // 2, shares[y])
         some = half if some is None else some.unionByName(half)
     # At most ``sample`` rows of two numbers; a document that repeats an id could still be many rows.
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id").limit(sample)
