@@ -49,33 +49,69 @@ def as_column(v: Vector) -> Column:
     return F.transform(_col(v), lambda x: x.cast("double")) if values is None else F.array(*map(F.lit, values)).cast("array<double>")
 
 
-def same_dims(value: Column, a: Column, n: Column | int) -> Column:
-    """``value``, or an error where the vector has another number of components than ``n``."""
-    size = F.size(a)
-    wrong = F.raise_error(F.concat(F.lit("vectors have "), size.cast("string"), F.lit(" and "), (F.lit(n) if isinstance(n, int) else n).cast("string"), F.lit(" components")))
-    return F.when(a.isNull(), F.lit(None).cast("double")).when(size == n, value).otherwise(wrong.cast("double"))
+def same_dims(a: Column, n: Column | int) -> Column:
+    """0 where the vector has ``n`` components, null where it is null, else an error.
 
+    It is added to a distance rather than put around it: inside a condition the
+    components' terms would be one method too long for the JIT compiler, which
+    measured twenty times as slow.
+    """
+    size, wanted = F.size(a), F.lit(n) if isinstance(n, int) else n
+    wrong = F.raise_error(F.concat(F.lit("vectors have "), size.cast("string"), F.lit(" and "), wanted.cast("string"), F.lit(" components")))
+    return F.when(a.isNull() | wanted.isNull() | (wanted < 0), F.lit(None).cast("double")).when(size == wanted, F.lit(0.0)).otherwise(wrong.cast("double"))
 
-def _tree(terms: list[Column]) -> Column:
-    """A balanced sum: a chain of hundreds of additions would be as deep."""
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
-    return terms[0]
 
+#: Terms of one compiled method.
+CHUNK = 24
 
-def _sum(a: Vector, b: Vector, term) -> Column:
-    """Sum of term(x, y) over components; compiled into one loop-free expression for a short query."""
+
+def _terms(a: Column | str, values: list[float], term: str) -> Column:
+    """A balanced sum of ``term`` over components x of ``a`` and numbers y, as one expression.
+
+    Each chunk's sum s is written (s + s) / 2, which is exact: a subexpression
+    that occurs twice becomes a method of its own, and methods of more than 8000
+    bytes are never compiled. It is written as SQL, which the parser reads at
+    once; hundreds of Column objects take half a second to make.
+    """
+
+    def tree(parts: list, plus) -> object:
+        while len(parts) > 1:
+            parts = [plus(p, q) for p, q in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+        return parts[0]
+
+    chunks = [range(k, min(k + CHUNK, len(values))) for k in range(0, len(values), CHUNK)]
+    if not isinstance(a, str):
+        made = {"sq": lambda x, y: (x - y) * (x - y), "mul": lambda x, y: x * y, "own": lambda x, y: x * x}[term]
+        sums = [tree([made(a[i].cast("double"), F.lit(values[i])) for i in c], lambda p, q: p + q) for c in chunks]
+        return tree([(s + s) * 0.5 for s in sums], lambda p, q: p + q)
+    name = ".".join(f"`{part}`" for part in a.replace("`", "").split("."))
+
+    def written(i: int) -> str:
+        x, y = f"CAST({name}[{i}] AS DOUBLE)", f"CAST('{values[i]!r}' AS DOUBLE)"
+        return {"sq": f"({x} - {y}) * ({x} - {y})", "mul": f"{x} * {y}", "own": f"{x} * {x}"}[term]
+
+    sums = [tree([written(i) for i in c], lambda p, q: f"({p} + {q})") for c in chunks]
+    return F.expr(tree([f"(({s} + {s}) * 0.5D)" for s in sums], lambda p, q: f"({p} + {q})"))
+
+
+def _short(a: Vector, b: Vector) -> list[float] | None:
+    """The numbers of a query that is short enough to be unrolled."""
     values = _literal(b)
-    if values is not None and 0 < len(values) <= UNROLL and _literal(a) is None:
-        v = _col(a)
-        return same_dims(_tree([term(v[i].cast("double"), F.lit(y)) for i, y in enumerate(values)]), v, len(values))
+    return values if values is not None and 0 < len(values) <= UNROLL and _literal(a) is None else None
+
+
+def _sum(a: Vector, b: Vector, term: str) -> Column:
+    """Sum over components; compiled into one loop-free expression for a short query."""
+    values = _short(a, b)
+    if values is not None:
+        return same_dims(_col(a), len(values)) + _terms(a, values, term)
     x, y = as_column(a), as_column(b)
-    total = F.aggregate(F.zip_with(x, y, term), F.lit(0.0), lambda s, t: s + t)
-    return F.when(y.isNull(), F.lit(None).cast("double")).otherwise(same_dims(total, x, F.size(y)))
+    each = {"sq": lambda p, q: (p - q) * (p - q), "mul": lambda p, q: p * q}[term]
+    return same_dims(x, F.size(y)) + F.aggregate(F.zip_with(x, y, each), F.lit(0.0), lambda s, t: s + t)
 
 
 def l2_squared(a: Vector, b: Vector) -> Column:
-    return _sum(a, b, lambda x, y: (x - y) * (x - y))
+    return _sum(a, b, "sq")
 
 
 def l2(a: Vector, b: Vector) -> Column:
@@ -83,7 +119,7 @@ def l2(a: Vector, b: Vector) -> Column:
 
 
 def dot(a: Vector, b: Vector) -> Column:
-    return _sum(a, b, lambda x, y: x * y)
+    return _sum(a, b, "mul")
 
 
 def negative_inner_product(a: Vector, b: Vector) -> Column:
@@ -105,16 +141,17 @@ def normalise(a: Vector) -> Column:
 
 def cosine(a: Vector, b: Vector) -> Column:
     """``max(0, 1 - cos)``; 1 where a vector has no length."""
-    values, x = _literal(b), as_column(a)
-    if values is not None and 0 < len(values) <= UNROLL and _literal(a) is None:
-        v = _col(a)
-        n2 = _tree([v[i].cast("double") * v[i].cast("double") for i in range(len(values))])
-        product, size = F.lit(math.fsum(y * y for y in values)) * n2, F.lit(len(values))
-        x = v
+    values = _short(a, b)
+    if values is not None:
+        product, over = F.lit(math.fsum(y * y for y in values)) * _terms(a, values, "own"), _terms(a, values, "mul")
+        sized = same_dims(_col(a), len(values))
     else:
-        product, size = norm_squared(a) * norm_squared(b), F.size(as_column(b))
-    apart = F.when(product < EPSILON * EPSILON, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(product)))
-    return F.when(size.isNull() | (size < 0), F.lit(None).cast("double")).otherwise(same_dims(F.when(product.isNotNull(), apart), x, size))
+        x, y = as_column(a), as_column(b)
+        product, over = norm_squared(a) * norm_squared(b), F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+        sized = same_dims(x, F.size(y))
+    # Both sums stand outside of conditions, for the reason that same_dims gives.
+    scale = F.when(product >= EPSILON * EPSILON, 1 / F.sqrt(product)).otherwise(0.0)
+    return sized + F.greatest(F.lit(0.0), 1 - over * scale)
 
 
 def distance(metric: Metric | str | int, a: Vector, b: Vector) -> Column:
@@ -132,8 +169,10 @@ def zeros(n: int) -> Column:
 
 def hamming(a: Column | str, b: Column | str | Sequence[int]) -> Column:
     """Number of bits in which two codes (arrays of longs) differ."""
-    other = _col(b) if isinstance(b, str | Column) else F.array(*[F.lit(int(x)).cast("long") for x in b])
     if not isinstance(b, str | Column):
-        v = _col(a)
-        return _tree([F.bit_count(v[i].bitwiseXOR(F.lit(int(x)).cast("long"))) for i, x in enumerate(b)])
+        v, total = _col(a), F.lit(0)
+        for i, x in enumerate(b):
+            total = total + F.bit_count(v[i].bitwiseXOR(F.lit(int(x)).cast("long")))
+        return total
+    other = _col(b)
     return F.aggregate(F.zip_with(_col(a), other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
