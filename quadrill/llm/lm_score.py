@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,16 +25,35 @@ SCORES = "doc_id long, n_words long, log_score double, score double"
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Unsigned integers by bytes of equal weight, high zero bytes left out: compressible, and short where values are."""
+    """Unsigned integers by bytes of equal weight: high zero bytes left out, uneven ones in Huffman code.
+
+    First the number of planes and of coded ones (the highest), then the coded
+    ones' sizes, the coded planes, and the others as they are.
+    """
+    if not len(values):
+        return b""
     wide = np.ascontiguousarray(values, dtype="<u8")
-    width = max(1, (int(wide.max()).bit_length() + 7) // 8) if len(wide) else 1
-    return wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    width = max(1, (int(wide.max()).bit_length() + 7) // 8)
+    raw, coded = wide.view(np.uint8).reshape(-1, 8)[:, :width].T, []
+    for plane in raw[::-1]:
+        coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+        short = coder.compress(plane.tobytes()) + coder.flush()
+        if len(short) > 0.95 * len(plane):
+            break
+        coded.append(short)
+    sizes = np.array([len(x) for x in coded], dtype="<u4").tobytes()
+    return bytes([width, len(coded)]) + sizes + b"".join(coded) + raw[: width - len(coded)].tobytes()
 
 
 def from_planes(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
     if n:
-        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+        width, coded = data[0], data[1]
+        at = 2 + 4 * coded
+        for k, size in enumerate(np.frombuffer(data, "<u4", coded, 2).tolist()):
+            out[:, width - 1 - k] = np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8)
+            at += size
+        out[:, : width - coded] = np.frombuffer(data, np.uint8, offset=at).reshape(-1, n).T
     return out.reshape(-1).view("<u8")
 
 
