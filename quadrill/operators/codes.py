@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ class Coder:
     bits: int = 1
 
     @classmethod
-    def trained(cls, df: DataFrame, view: Column, bits: int = 1) -> Coder:
+    def trained(cls, df: DataFrame, embedding: str, metric: Metric | str, dims: int = 0, bits: int = 1) -> Coder:
         """One pass over all vectors; what comes back is as many rows as components."""
-        rows = moments(df, view).orderBy("pos").collect()
+        rows = moments(df, embedding, metric, dims).orderBy("pos").collect()
         return cls(tuple(r["mean"] for r in rows), tuple(r["deviation"] for r in rows), bits)
 
     @property
@@ -56,28 +58,60 @@ class Coder:
         padded[:, : flat.shape[1]] = flat
         return np.packbits(padded, axis=1, bitorder="little").view("<i8")
 
-    def code(self, view: Column) -> Column:
+    def code(self, embedding: Column | str, metric: Metric | str, dims: int = 0) -> Column:
         """The code of a vector column: batches in numpy; a loop a component would be far slower."""
+        m = Metric.of(metric)
 
         @F.pandas_udf("array<bigint>")
         def encoded(column: pd.Series) -> pd.Series:
             rows = column.notna().to_numpy()
             out: list[np.ndarray | None] = [None] * len(column)
             if rows.any():
-                for k, c in zip(np.flatnonzero(rows), self.encode(np.stack(column[rows].to_list())), strict=True):
+                seen = viewed_rows(np.stack(column[rows].to_list()), m, dims)
+                for k, c in zip(np.flatnonzero(rows), self.encode(seen), strict=True):
                     out[k] = c
             return pd.Series(out, dtype=object)
 
-        return encoded(view)
+        return encoded(embedding)
 
     def code_of(self, query: list[float]) -> list[int]:
         return self.encode(np.array([query], dtype=np.float64))[0].tolist()
 
 
-def moments(df: DataFrame, view: Column) -> DataFrame:
-    """(pos, mean, deviation) of each component over all vectors."""
-    parts = df.where(view.isNotNull()).select(F.posexplode(view).alias("pos", "v"))
-    return parts.groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+def viewed_rows(x: np.ndarray, metric: Metric, dims: int = 0) -> np.ndarray:
+    """``index_view`` of the rows of a matrix."""
+    x = x[:, : dims or None].astype(np.float64)
+    if metric is not Metric.COSINE:
+        return x
+    n2 = (x * x).sum(axis=1)
+    return x / np.where(n2 < metrics.EPSILON, 1.0, np.sqrt(n2))[:, None]
+
+
+def moments(df: DataFrame, embedding: str, metric: Metric | str, dims: int = 0) -> DataFrame:
+    """(pos, mean, deviation) of each component over all vectors.
+
+    Each task adds its vectors up, batch by batch, and sends one row a
+    component: what is shuffled does not grow with the vectors.
+    """
+    m = Metric.of(metric)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2 = 0, np.zeros(0), np.zeros(0)
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if not len(column):
+                continue
+            x = viewed_rows(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1), m, dims)
+            k, own = len(x), x.mean(axis=0)
+            apart = own - mean if n else own * 0
+            m2 = ((x - own) ** 2).sum(axis=0) + (m2 + apart**2 * n * k / (n + k) if n else 0)
+            mean = mean + apart * k / (n + k) if n else own
+            n += k
+        yield pa.record_batch({"pos": pa.array(np.arange(len(mean)), pa.int32()), "n": pa.array(np.full(len(mean), float(n))), "mean": pa.array(mean), "m2": pa.array(m2)})
+
+    parts = df.where(F.col(embedding).isNotNull()).select(embedding).mapInArrow(added, "pos int, n double, mean double, m2 double")
+    total = parts.groupBy("pos").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("squares"))
+    return total.select("pos", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - F.col("mean") * F.col("mean"))).alias("deviation"))
 
 
 def viewed(query: list[float], metric: Metric | str, dims: int = 0) -> list[float]:

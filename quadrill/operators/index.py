@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quadrill.functions import labels as label_sets
 from quadrill.functions.boxes import Box, Columns
 from quadrill.operators import grid as grids
-from quadrill.operators.codes import Coder, index_view
+from quadrill.operators.codes import Coder
 from quadrill.operators.grid import Grid
 from quadrill.operators.search import filtered, rescored, search
 from quadrill.plans.cost import Path, route
@@ -52,7 +52,7 @@ class SpatialIndex:
         o = (options or IndexOptions()).resolved(dims, labels is not None)
         grid, coder = Grid.of(rows), None
         if o.storage_layout != "plain" and first:
-            coder = Coder.trained(rows, index_view("embedding", o.metric, o.num_dimensions), o.num_bits_per_dimension)
+            coder = Coder.trained(rows, "embedding", o.metric, o.num_dimensions, o.num_bits_per_dimension)
         manifest = {
             "options": o.asdict(), "dims": dims, "grid": grid.asdict(), "labels": labels, "seq": 0, "base": [], "postings": [], "overflow": [], "overflow_rows": 0, "tombstones": [],
             "coder": coder and {"means": coder.means, "deviations": coder.deviations, "bits": coder.bits},
@@ -73,7 +73,7 @@ class SpatialIndex:
         dims = manifest["dims"]
         right = F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector does not have {dims} components")).cast("array<float>"))
         out = out.withColumn("embedding", right)
-        code = coder.code(index_view("embedding", o.metric, o.num_dimensions)) if coder else F.lit(None).cast("array<bigint>")
+        code = coder.code("embedding", o.metric, o.num_dimensions) if coder else F.lit(None).cast("array<bigint>")
         cell = F.when(~at.empty(), grid.point_cell((at.xmin + at.xmax) / 2, (at.ymin + at.ymax) / 2))
         return out.withColumns({"__code": code, "__seq": F.lit(manifest["seq"]).cast("long"), "__cell": cell})
 

@@ -11,7 +11,7 @@ from quadrill.functions import labels as label_sets
 from quadrill.functions import metrics
 from quadrill.functions.boxes import Box, Columns
 from quadrill.functions.metrics import Metric
-from quadrill.operators.codes import Coder, index_view, viewed
+from quadrill.operators.codes import Coder, viewed
 
 
 def query_vector(df: DataFrame, id: str, value: object, embedding: str = "embedding") -> list[float] | None:
@@ -90,6 +90,5 @@ def rescored(df: DataFrame, code: str, coder: Coder, query: Sequence[float], k:
 
 def coded(df: DataFrame, *, embedding: str = "embedding", metric: Metric | str = Metric.COSINE, bits: int = 1, dims: int = 0, name: str = "code") -> tuple[DataFrame, Coder]:
     """``df`` with a column of codes, and the coder that its vectors trained."""
-    view = index_view(embedding, metric, dims)
-    coder = Coder.trained(df, view, bits)
-    return df.withColumn(name, coder.code(F.when(F.col(embedding).isNotNull(), view))), coder
+    coder = Coder.trained(df, embedding, metric, dims, bits)
+    return df.withColumn(name, coder.code(embedding, metric, dims)), coder

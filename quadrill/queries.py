@@ -19,7 +19,7 @@ from quadrill.operators import graph as graphs
 from quadrill.operators import grid as g
 from quadrill.operators import hybrid as h
 from quadrill.operators import search as s
-from quadrill.operators.codes import index_view, moments
+from quadrill.operators.codes import moments
 from quadrill.operators.evaluate import recall, violations
 from quadrill.plans.cost import return_selectivity, route, scan_work
 from quadrill.plans.options import IndexOptions
@@ -436,7 +436,7 @@ def partitions_in_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT pos::BIGINT AS pos, round(avg(u), 9) AS mean, round(stddev_pop(u), 9) AS deviation FROM (SELECT unnest(list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding)))) AS u, unnest(range(len(embedding))) AS pos FROM v) GROUP BY pos")
 def sbq_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = moments(vectors(spark, sf_dir), index_view("embedding", "cosine"))
+    rows = moments(vectors(spark, sf_dir), "embedding", "cosine")
     return rows.select(F.col("pos").cast("long").alias("pos"), F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
 
 
