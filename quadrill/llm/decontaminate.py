@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.llm.store import materialise, spare_name
-from quadrill.llm.words import batches, hashed_words, ngrams
+from quadrill.llm.words import batches, hashed_words, ngrams, sliced
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -110,7 +110,7 @@ def corpus_counts(texts: DataFrame, items: Items) -> dict[int, int]:
     def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         table, counts = held.filter(), np.zeros(len(held.seeds), np.int64)
-        for batch in chunks:
+        for batch in sliced(chunks):
             all_texts = batch.column("text").to_pylist()
             for part in batches(all_texts):
                 counts += np.bincount(_hit_words(all_texts[part], held, table)[3], minlength=len(counts))
@@ -143,7 +143,7 @@ def _find(texts: DataFrame, items: Items, least: float) -> DataFrame:
     def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         table = held.filter()
-        for batch in chunks:
+        for batch in sliced(chunks):
             ids, all_texts, out = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             for part in batches(all_texts):
                 words, offsets, at, which, doc = _hit_words(all_texts[part], held, table)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quadrill.llm.langid import held_out
 from quadrill.llm.store import bounded_sample, spare_name
-from quadrill.llm.words import batches, hashed_words
+from quadrill.llm.words import batches, hashed_words, sliced
 
 #: Labelled documents that are learned from, at most half of each class.
 SAMPLE = 3000
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def encoded(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks:
+        for batch in sliced(chunks):
             all_texts, ys = batch.column("text").to_pylist(), batch.column("y").to_pylist()
             for part in batches(all_texts):
                 x, first = features(all_texts[part])
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text:
 
     def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pickle.loads(sent.value)
-        for batch in chunks:
+        for batch in sliced(chunks):
             texts, found = batch.column(text).to_pylist(), []
             for part in batches(texts):
                 found += held.forward(*features(texts[part]))["p"].tolist() if held else [0.5] * len(texts[part])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +72,14 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def batches(texts: list[str | None], most: int = 1 << 20):
+def sliced(chunks: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what is made of each is let go before the next."""
+    for batch in chunks:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def batches(texts: list[str | None], most: int = 1 << 18):
     """Slices of ``texts`` of about ``most`` characters each, one text at least."""
     at, size = 0, 0
     for k, t in enumerate(texts):
