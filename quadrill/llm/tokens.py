@@ -32,7 +32,7 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most_kept: int = 1_600_000):
+    def __init__(self, path: str, most_kept: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task a core already
         from tokenizers import Tokenizer
 
