@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.llm.store import materialise, spare_name
-from quadrill.llm.words import batches, hashed_words, ngrams, sliced
+from quadrill.llm.words import batches, hashed_words, mix, sliced
 
-#: Words of a seed.
-SEED_WORDS = 3
-#: An item's seeds are this share of its n-grams, the rarest in the corpus, but this many at least.
-RAREST, LEAST_SEEDS = 0.5, 12
+#: A seed is two words next to each other or with one between them.
+APART = (1, 2)
+PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Words of an item, at least.
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A copy aligns with this share of the item's greatest score or more.
 SCORE = 0.5
@@ -47,6 +49,12 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best, end - run(item[::-1], back)[1] if best else end, end
 
 
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every two words that are next to each other or one apart, and where the first one is."""
+    grams = [mix(words[: max(0, len(words) - k)] * PAIR + words[k:]) for k in APART]
+    return np.concatenate(grams), np.concatenate([np.arange(len(g)) for g in grams])
+
+
 @dataclass
 class Items:
     """Test items and where each seed occurs in them."""
@@ -59,16 +67,27 @@ class Items:
     at: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], words: list[np.ndarray], counts: dict[int, int] | None = None) -> Items:
-        """``counts``: of n-grams in the corpus; without it every n-gram is a seed."""
+    def of(cls, ids: list[int], words: list[np.ndarray], counts: dict[int, int] | None = None, least: float = SCORE) -> Items:
+        """``counts``: of pairs in the corpus; without it every pair is a seed.
+
+        An alignment of M matches and X other steps scores 2 M - X. Of its M - 1
+        pairs of successive matches those with two or more steps between them
+        are X / 2 at most; the others have their words in both texts next to
+        each other or one apart. So a score of ``least`` or more, 2 M - X >=
+        2 least m for m words, has such pairs at M - 1 - X / 2 >= least m - 1
+        places of the item. All but one of so many places may be without seeds,
+        and the alignment still meets one: these are the most frequent places.
+        """
         keys, items, ats = [], [], []
         for k, w in enumerate(words):
-            grams = ngrams(w, SEED_WORDS)
-            at = np.arange(len(grams))
+            grams, at = pairs(w) if len(w) >= LEAST_WORDS else pairs(w[:0])
             if counts is not None and len(grams):
-                rare = np.lexsort((at, [counts.get(int(g), 0) for g in grams]))
-                at = np.sort(rare[: max(LEAST_SEEDS, int(RAREST * len(grams)))])
-            keys.append(grams[at])
+                often = np.bincount(at, [counts.get(int(g), 0) for g in grams])
+                spare = max(0, math.ceil(least * len(w) - 1 - 1e-6) - 1)
+                kept = np.ones(len(often), dtype=bool)
+                kept[np.argsort(-often, kind="stable")[:spare]] = False
+                grams, at = grams[kept[at]], at[kept[at]]
+            keys.append(grams)
             items.append(np.full(len(at), k))
             ats.append(at)
         key, item, at = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.uint64, keys), (np.int64, items), (np.int64, ats)))
@@ -97,14 +116,17 @@ class Items:
 def _hit_words(texts: list[str | None], items: Items, table: np.ndarray):
     """For a batch: word hashes, offsets of texts, and the hits that lie within one text."""
     found = hashed_words(texts)
-    at, which = items.hits(ngrams(found.hashes, SEED_WORDS), table)
+    grams, starts = pairs(found.hashes)
+    at, which = items.hits(grams, table)
+    span = np.where(at < len(found.hashes) - 1, *APART)
+    at = starts[at]
     doc = np.searchsorted(found.offsets, at, side="right") - 1
-    inside = at + SEED_WORDS <= found.offsets[doc + 1]
+    inside = at + span < found.offsets[doc + 1]
     return found.hashes, found.offsets, at[inside], which[inside], doc[inside]
 
 
 def corpus_counts(texts: DataFrame, items: Items) -> dict[int, int]:
-    """How often each n-gram of the items occurs in all texts; as many rows as the items have."""
+    """How often each pair of the items occurs in all texts; as many rows as the items have."""
     sent = texts.sparkSession.sparkContext.broadcast(items)
 
     def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +148,14 @@ FOUND = "doc_id long, item_id long, score double, from_word long, to_word long"
 
 def matches_in(words: np.ndarray, item: np.ndarray, starts: np.ndarray, least: float) -> tuple[float, int, int] | None:
     """The best alignment of the item near where its seeds would have it start."""
-    starts, m, best = np.sort(starts), len(item), None
-    slack = m // 2 + 8
+    starts, m, best = np.unique(starts), len(item), None
+    # As many words as an alignment of ``least`` can have between those of the item.
+    slack = max(0, math.ceil(MATCH * m * (1 - least)))
     for group in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1):
         low, high = max(0, int(group[0]) - slack), min(len(words), int(group[-1]) + m + slack)
+        # With fewer common words than this no alignment reaches the score.
+        if np.count_nonzero(np.isin(item, words[low:high])) < least * m - 1e-6:
+            continue
         got, start, end = align(item, words[low:high])
         score = got / (MATCH * m)
         if score >= least and (best is None or score > best[0]):
@@ -169,9 +195,10 @@ def _find(texts: DataFrame, items: Items, least: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE, most_items_mb: float = MOST_ITEMS_MB) -> DataFrame:
     """doc_id, item_id, score, from_word, to_word: where a document holds a copy of an item.
 
-    Words are lower-cased, punctuation parts them. Every n-gram of the items is
-    counted over all texts; the rarest ones of each item are its seeds. A text
-    with a seed is aligned with the item around it (match 2, mismatch and gap
+    Words are lower-cased, punctuation parts them. Every pair of an item's
+    words, next to each other or one apart, is counted over all texts; the seeds
+    are those at the rarer places, as many as it takes for every alignment of
+    ``least`` or more to meet one. A text with a seed is aligned with the item around it (match 2, mismatch and gap
     -1): score is the share of the greatest score that the item can have. One
     row a document row and item with a score of ``least`` or more, its best
     place; documents without a match give none. Null texts match nothing, nor do
@@ -192,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         found = hashed_words([t for _, t in rows])
         words = [found.hashes[a:b] for a, b in zip(found.offsets[:-1], found.offsets[1:], strict=True)]
         ids = [i for i, _ in rows]
-        chosen = Items.of(ids, words, corpus_counts(texts, Items.of(ids, words)))
+        chosen = Items.of(ids, words, corpus_counts(texts, Items.of(ids, words)), least)
         one = _find(texts, chosen, least)
         out = one if out is None else out.unionByName(one)
     return out

@@ -76,6 +76,18 @@ def test_against_brute_force(spark, mb):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in dirty)
 
 
+def test_edited_copies(spark):
+    rng = random.Random(7)
+    items = [(k, text_of(rng, 40)) for k in range(20)]
+    docs = [(k, f"{text_of(rng, 30)} {edited(rng, items[k % 20][1], 0.1 + 0.05 * (k % 5))} {text_of(rng, 30)}") for k in range(100)]
+    docs += [(100 + k, items[k % 20][1]) for k in range(60)]
+    words = items[0][1].split()
+    docs += [(900, " ".join("zz" if n % 3 == 2 else w for n, w in enumerate(words))), (901, " zz ".join(words))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, d.SCORE)
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()} == want and {(900, 0), (901, 0)} <= want
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
