@@ -156,9 +156,10 @@ class SpatialIndex:
     def search(self, query: Sequence[float] | None, k: int | None = 20, *, box: Box | None = None, labels: Iterable[int] | None = None, where=None, settings: Settings | None = None, path: Path | None = None) -> DataFrame:
         """The k nearest live rows under all filters, by the path that the candidates ask for.
 
-        Brute force ranks all rows in the box by their vectors. The other two
-        rank by codes first, where the index has codes and ``query_rescore`` is
-        not 0: the narrow code column is all that most rows need to be read for.
+        All rows that the filters leave are ranked by their vectors. Only where
+        ``query_rescore`` is set above 0 and the index has codes do the paths but
+        brute force rank by codes first: the narrow code column is all that most
+        rows need to be read for, but what comes back is no longer exact.
         """
         s = settings or Settings.of(self.spark)
         chosen = path or self.path_of(box, s)

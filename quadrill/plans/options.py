@@ -83,7 +83,7 @@ class Settings:
     """Settings of searches; ``of(spark)`` reads ``spark.quadrill.*`` of the session."""
 
     query_search_list_size: int = 100
-    query_rescore: int = 50
+    query_rescore: int = 0  # rows of nearest code that are ranked by their vectors; 0: all rows, exactly
     spatial_brute_force_threshold: int = 5000
     spatial_seeds_per_cell: int = 2
     spatial_overflow_compact_threshold: int = 10_000

@@ -57,6 +57,16 @@ def test_build_and_search(spark, tmp_path, metric):
     assert len(ids(index.search(None, None))) == df.where("embedding is not null").count()
 
 
+def test_search_is_exact_by_default(spark, tmp_path):
+    df = rows(spark, 3000).localCheckpoint()
+    index = SpatialIndex.build(df, f"file://{tmp_path}/i", IndexOptions(), labels="labels")
+    small = Settings(spatial_brute_force_threshold=1)
+    assert index.path_of(BOX, small) is Path.HYBRID
+    for k in (20, 150):
+        assert ids(index.search(Q, k)) == truth(df, Q, k, "cosine")
+        assert ids(index.search(Q, k, box=BOX, settings=small)) == truth(df, Q, k, "cosine", BOX)
+
+
 def test_routes(spark, tmp_path):
     index = SpatialIndex.build(rows(spark), f"file://{tmp_path}/i", IndexOptions(storage_layout="plain"))
     n = index.candidates(BOX)
