@@ -9,23 +9,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrill.llm.store import bounded_sample
-
-#: Labelled rows that are learned from, at most; the rows of least hash.
-SAMPLE = 4000
-#: Entries of the word table and of the table of each n-gram length, at most.
-WORDS, GRAMS = 60_000, 20_000
+#: Bytes of labelled text that are learned from, about, for each language.
+SAMPLE_MB = 1.0
 LONGEST = 5
 #: Words of which a text's score takes account at most; more make it no surer.
 SURE = 25
-_word = re.compile(r"[^\W\d_]+").findall
+#: The lower-case letters of Latin-1, and letters with marks of any script.
+_latin = re.compile("[a-zªµºß-öø-ÿ]+").findall
+_any = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words: runs of letters, and of marks after the first letter."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _any(text)
+    return _latin(text)
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"\x02{word}\x03"
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
@@ -39,17 +48,15 @@ class Model:
         self.kept: dict[str, np.ndarray] = {}
 
     @classmethod
-    def learn(cls, texts: Iterator[tuple[str, str]]) -> Model:
-        counts: dict[str, Counter] = {}
-        for text, lang in texts:
-            counts.setdefault(lang, Counter()).update(_word(text.lower()))
+    def learn(cls, counts: dict[str, dict[str, int]]) -> Model:
+        """From how often each language has each word; nothing is left out of the tables."""
         langs = sorted(counts)
         tables, logs = [], []
         for n in range(LONGEST + 1):  # 0: whole words
             of = []
             for lang in langs:
                 if n == 0:
-                    of.append(counts[lang])
+                    of.append(Counter(counts[lang]))
                     continue
                 c: Counter = Counter()
                 for word, times in counts[lang].items():
@@ -59,7 +66,7 @@ class Model:
             total: Counter = Counter()
             for c in of:
                 total.update(c)
-            chosen = [w for w, times in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: GRAMS if n else WORDS] if times > 1 or n]
+            chosen = sorted(total)
             tables.append({w: k for k, w in enumerate(chosen)})
             # A count of half keeps what a language has not shown possible.
             seen = np.array([[c[w] for c in of] for w in chosen], dtype=np.float64).reshape(len(chosen), len(langs))
@@ -83,7 +90,7 @@ class Model:
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_word(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.langs:
             return UNKNOWN, 0.0
         rows, times, total = [], [], np.zeros(len(self.langs))
@@ -103,24 +110,43 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> bytes:
-    """A model of at most ``sample`` labelled rows, learned in one executor task."""
-    known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != ""))
-    total = known.count()
-    rows = known.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"))
-    some = bounded_sample(rows, F.col("h"), sample, total)
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_mb: float = SAMPLE_MB) -> bytes:
+    """A model of about ``sample_mb`` of labelled text a language: the rows of least hash.
+
+    Every language has a share of its own, so rare ones are learned too. Tasks
+    count words and one more learns from the counts: texts stay where they are.
+    """
+    known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"))
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
+    share = F.least(F.lit(1.0), F.lit(sample_mb * 1e6) / F.greatest(F.col("size"), F.lit(1)))
+    some = known.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))  # one row a language
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for b in batches:
+            for one, words in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+                counts.setdefault(one, Counter()).update(words_of(words.as_py()))
+        for one, c in counts.items():
+            yield pa.record_batch({"lang": pa.array([one] * (len(c) + 1)), "word": pa.array(["", *c]), "n": pa.array([0, *c.values()], pa.int64())})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.learn(pair for b in batches for pair in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))
+        counts: dict[str, dict[str, int]] = {}
+        for b in batches:
+            for one, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of = counts.setdefault(one, {})
+                if word:
+                    of[word] = n
+        model = Model.learn(counts)
         yield pa.record_batch({"model": pa.array([pickle.dumps((model.langs, model.tables, model.logs))], pa.binary())})
 
-    found = some.select("text", "lang").coalesce(1).mapInArrow(fit, "model binary").collect()
+    counted = some.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = counted.coalesce(1).mapInArrow(fit, "model binary").collect()
     return bytes(found[0]["model"]) if found else pickle.dumps(([], [], []))
 
 
 def predict(docs: DataFrame, model: bytes, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, and so by the languages
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*pickle.loads(sent.value))
@@ -136,15 +162,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_mb: float = SAMPLE_MB) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row a row of ``docs``.
 
-    Learns from text and non-null lang of at most ``sample`` rows that are not
-    held out. A word of the table scores its log frequency in each language;
-    any other falls back to its 5-grams, then 4-grams and so on to single
-    characters. A null text, or one without a letter, is ``und`` with score 0,
-    and so is every text if there is nothing to learn from. Whole texts count,
-    rows that repeat an id each get their row, an empty table gives none.
+    Learns from text and non-null lang of rows that are not held out, about
+    ``sample_mb`` for each language, and from every word of those. A known word
+    scores its log frequency in each language; any other falls back to its
+    5-grams, then 4-grams and so on to single characters. Of equal scores the
+    language that sorts first wins. A null text, or one without a letter, is
+    ``und`` with score 0, and so is every text if there is nothing to learn
+    from. Whole texts count, rows that repeat an id each get their row (and are
+    each learned from), an empty table gives none.
     """
-    model = learn(docs.where(~held_out(doc_id)), doc_id=doc_id, text=text, lang=lang, sample=sample)
+    model = learn(docs.where(~held_out(doc_id)), doc_id=doc_id, text=text, lang=lang, sample_mb=sample_mb)
     return predict(docs, model, doc_id=doc_id, text=text).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
