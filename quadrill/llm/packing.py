@@ -20,16 +20,19 @@ class Capacity:
     """What a sequence can hold, and how its three residuals weigh.
 
     ``attention`` bounds the sum of squared piece lengths (block-diagonal
-    attention); the defaults for ``documents`` and ``attention`` are what
-    ``tokens`` alone allows, so only a lower value binds. ``select`` is
-    "residual" (least weighted norm of what stays free) or "product" (greatest
-    weighted dot product of the piece with what is free).
+    attention). The default for ``documents`` is what ``tokens`` alone allows,
+    so only a lower value binds; ``attention`` must allow one full piece, and so
+    binds by the side of ``tokens`` never, but weighs: of bins with equal room
+    it tells many short pieces from few long ones. Residuals are shares of
+    their capacity and weigh alike by default. ``select`` is "residual" (least
+    weighted norm of what stays free) or "product" (greatest weighted dot
+    product of the piece with what is free).
     """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     select: str = "residual"
 
     def __post_init__(self):
@@ -124,7 +127,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None
     no pieces.
     """
     cap = capacity or Capacity()
-    cap = capacity or Capacity()
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = PIECES + ", input_ids array<int>" * with_ids
 

@@ -25,6 +25,8 @@ from quadrill.llm.store import materialise, scratch, shuffle_parts, spare_name
 from quadrill.llm.tokens import crc32_of_ids, encoder
 
 ROWS_A_BATCH = 256
+#: Bytes of text of a shard, about; a small table has a shard a shuffle partition.
+SHARD_MB = 128
 SHARDS = "shard long, n_ids long, n_docs long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -124,13 +126,17 @@ def write_token_files(
     Rows are dealt by ranges of (doc_id, a row number), so rows that repeat an
     id still spread over shards. A null id comes before all others, a null text
     is an empty one, and rows that repeat an id each stay. Every document ends
-    with ``end_id``. An empty table writes no shard.
+    with ``end_id``. An empty table writes no shard. Unless ``shards`` says how
+    many there are, their number follows from the bytes of all texts.
     """
     spark = docs.sparkSession
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = spare_name(kept, "row")
     kept = kept.withColumn(row, F.monotonically_increasing_id())
-    dealt = kept.repartitionByRange(shards or shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), row).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), row)
+    if shards is None:
+        size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(shuffle_parts(spark), -(-size // (SHARD_MB * 1_000_000)))
+    dealt = kept.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), row).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), row)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)

@@ -28,8 +28,9 @@ class Encoder:
     those of its cuts in turn. Words repeat, so each new word goes through the
     tokenizers library once (whole batches of them) and its ids are kept in a
     table that is emptied when it has ``most_kept`` words. Texts beyond Latin-1,
-    and tokenizers of any other kind, go through the library as they are.
-    Strings of special tokens in a text are ordinary text.
+    texts that hold the string of an added token (which the library cuts out
+    before anything else), and tokenizers of any other kind, go through the
+    library as they are.
     """
 
     def __init__(self, path: str, most_kept: int = 1_100_000):
@@ -37,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most_kept = most_kept
         self.kept: dict[str, bytes] = {}
@@ -53,6 +53,10 @@ class Encoder:
         )
         self.cut = re.compile(LATIN_CUT).findall
         self.plain = re.compile(rf" [{LETTERS}]+").fullmatch
+        added = [x["content"] for x in spec.get("added_tokens") or () if x["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        # Plain words are encoded as one text, in which no added token may arise.
+        self.by_cut = self.by_cut and not any(re.fullmatch(f"[ {LETTERS}]+", x) for x in added)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -90,7 +94,7 @@ class Encoder:
             except UnicodeEncodeError:
                 cuts.append(None)
             else:
-                cuts.append(self.cut(text))
+                cuts.append(None if self.added(text) else self.cut(text))
         if len(self.kept) > self.most_kept:
             self.kept.clear()
         kept = self.kept

@@ -19,9 +19,7 @@ TEXTS = ["", "Hello, world!", "  two  spaces\n\nand lines ", "Größe ñandú <|
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(byte_bpe())
 
 
 def ids_of(text, end):
@@ -33,12 +31,16 @@ def crc(ids):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=5))
+@given(st.lists(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " <|endoftext|> ", "words of Größe"])), max_size=4).map("".join), max_size=5))
 def test_encoder_is_the_library(texts):
     found = encoder(byte_bpe()).encode(texts)
     assert [np.frombuffer(x, "<u2").tolist() for x in found] == [ids_of(t, 0)[:-1] for t in texts]
 
 
+def test_added_tokens_are_the_library_s():
+    assert np.frombuffer(encoder(byte_bpe()).encode(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, start long, shard string")
 
@@ -116,6 +118,46 @@ def test_pack_is_best_fit():
     assert sorted(filled.tolist()) == [60, 64, 64, 64] and bins[1] == bins[6] and bins[2] == bins[3]
 
 
+def plain_pack(lengths, cap):
+    """The same rule by plain loops: tokens, documents and attention left in each bin."""
+    bins, at, tops = [], {}, (cap.tokens, cap.documents, cap.attention)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need, best = (lengths[i], 1, lengths[i] ** 2), None
+        for k, left in enumerate(bins):
+            if all(x >= n for x, n in zip(left, need, strict=True)):
+                if cap.select == "residual":
+                    rate = -sum(w * ((x - n) / t) ** 2 for w, x, n, t in zip(cap.weights, left, need, tops, strict=True))
+                else:
+                    rate = sum(w * (x / t) * (n / t) for w, x, n, t in zip(cap.weights, left, need, tops, strict=True))
+                if best is None or rate > best[0] + 1e-12:
+                    best = rate, k
+        k = best[1] if best else len(bins)
+        if best is None:
+            bins.append(tops)
+        bins[k] = tuple(x - n for x, n in zip(bins[k], need, strict=True))
+        at[i] = k
+    return [at[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("select", ["residual", "product"])
+@pytest.mark.parametrize("documents", [3, 64])
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), (1.0, 0.2, 3.0)])
+def test_pack_against_plain_loops(select, documents, weights):
+    lengths = np.random.default_rng(documents).integers(1, 65 if documents > 3 else 20, 300)
+    cap = packing.Capacity(64, documents, 64 * 64, weights, select)
+    bins, _, filled = packing.pack(lengths, cap)
+    want = plain_pack(lengths.tolist(), cap)
+    assert len(set(want)) == len(filled) and bins.tolist() == want
+    assert documents > 3 or max(np.bincount(bins)) == 3  # this limit binds
+
+
+def test_repeated_ids_are_all_packed(spark):
+    rows = [(5, "same id, same text", 0, "x")] * 3 + [(5, "other " * 2000, 0, "x"), (None, None, 0, "x")]
+    got = packing.pack_documents(table(spark, rows), byte_bpe()).collect()
+    total = sum(len(ids_of(r[1], 2)) for r in rows)
+    assert sum(r.length for r in got) == total and sum(r.doc_id is None for r in got) == 1
+
+
 def test_capacity_is_checked():
     with pytest.raises(ValueError):
         packing.Capacity(64, 1, 63)
