@@ -31,6 +31,25 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content no-sidebar", "entry share-on", "page with-header", "post related-posts-on", "sidebar", "site-header"])
+@pytest.mark.parametrize("inside", ["article", "main", "div"])
+def test_marked_wrappers_do_not_hide_the_page(wrapper, inside):
+    got = html.main_text(page(f'<nav>Home</nav><div class="{wrapper}"><{inside}><h1>Head</h1><p>{LONG}</p><p>Short.</p></{inside}></div><footer>x</footer>'))
+    assert got.split("\n") == ["Head", LONG.strip(), "Short."]
+
+
+@pytest.mark.parametrize("marked", ["related", "related-posts", "site-sidebar", "comments", "comment-list", "promo"])
+def test_marked_cards_beside_an_article_go(marked):
+    got = html.main_text(page(f'<article><p>{LONG}</p></article><section class="{marked}"><article><p>{LONG} Card</p></article></section>'))
+    assert got == LONG.strip()
+    assert html.main_text(page(f'<section id="comments"><article><p>{LONG}</p></article></section>')) == ""
+
+
+def test_many_open_elements():
+    deep = "<div>" * 50000 + f"<p>{LONG}</p>" + "</span>" * 50000
+    assert html.main_text(page(deep)) == LONG.strip()
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_cases(case):
     got, want = html.main_text(CASES[case][0]), [w.strip() for w in CASES[case][1]]
