@@ -73,12 +73,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Every query against every row, scored in doubles that hold the integers exactly.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  SELECT vec_id, row_number() OVER () AS pos, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+  SELECT a.pos, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.pos <> b.pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 

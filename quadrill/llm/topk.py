@@ -13,10 +13,10 @@ from quadrill.llm.store import materialise
 
 #: Buckets hold vectors whose lengths differ by a factor of 2 ** (1 / STEPS) at most.
 STEPS = 4
-#: Rows of a bucket's block, and queries of a block: what a task holds at once.
-BLOCK, QUERY_BLOCK = 8192, 4096
-#: The longest vectors, of which each query's first threshold is taken.
-FIRST = 1024
+#: Rows of a block, and MB of queries that a round sends to every task.
+BLOCK, ROUND_MB = 8192, 32
+#: The FIRST longest vectors and one other in PILOT are searched first, for thresholds near the final ones.
+FIRST, PILOT = 1024, 64
 #: From this local cosine threshold on, coordinates prune better than lengths.
 BY_COORDINATE = 0.6
 FOCUS = 4
@@ -64,9 +64,9 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Bucket:
     """A block of one bucket's vectors, longest first."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, norms: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, norms: np.ndarray):
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.q, self.norms = ids[order], q[order], norms[order]
+        self.ids, self.rows, self.q, self.norms = ids[order], rows[order], q[order], norms[order]
         self.exact = self.q.astype(np.float64)
         self.longest = float(self.norms[0])
         self.unit = self.exact / np.where(self.norms > 0, self.norms, 1.0)[:, None]
@@ -78,8 +78,8 @@ class Bucket:
             self.sorted[f] = order, self.unit[order, f]
         return self.sorted[f]
 
-    def search(self, query_id: int, q: np.ndarray, norm: float, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of this bucket's part of the query's k best with a score of ``least`` or more."""
+    def search(self, query_row: int, q: np.ndarray, norm: float, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of this bucket's part of the k best with a score of ``least`` or more; the query's own row is none of them."""
         rows = self._candidates(q, norm, least)
         if rows is not None and not len(rows):
             return self.ids[:0], self.ids[:0]
@@ -89,7 +89,7 @@ class Bucket:
         else:
             score = products(self.q if rows is None else self.q[rows], q, most)
         ids = self.ids if rows is None else self.ids[rows]
-        keep = ids != query_id
+        keep = (self.rows if rows is None else self.rows[rows]) != query_row
         if least > -np.inf:
             keep &= score >= least
         ids, score = ids[keep], score[keep]
@@ -121,73 +121,109 @@ class Bucket:
         return rows
 
 
-RESULT = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
+QUERY = "query_row long, query_id long, q array<long>, dim int, norm double"
+
+
+class Queries:
+    """The queries of a round by their number of components, greatest length first."""
+
+    def __init__(self, rows: pa.Table):
+        self.by_dim: dict[int, tuple[np.ndarray, ...]] = {}
+        dims = rows.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            some = rows.filter(pa.array(dims == dim))
+            self.by_dim[dim] = (*(some.column(c).to_numpy() for c in ("query_row", "query_id", "norm", "least")), _matrix(some.column("q")) if dim else None)
+
+
+def _block(queries: Queries, dim: int, ids: np.ndarray, rows: np.ndarray, q: np.ndarray | None, norms: np.ndarray, k: int) -> pa.RecordBatch:
+    """What a block of vectors with ``dim`` components adds to the k best of each query that can reach it."""
+    found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    for by_row, by_id, by_norm, least, vectors in [queries.by_dim[dim]] if dim in queries.by_dim else ():
+        if not dim:  # vectors without components all score 0
+            order = np.argsort(ids, kind="stable")
+            for row, one in zip(by_row.tolist(), by_id.tolist(), strict=True):
+                some = order[rows[order] != row][:k]
+                found.append((row, one, ids[some], np.zeros(len(some), np.int64)))
+            continue
+        steps = np.where(norms > 0, np.floor(np.log2(np.where(norms > 0, norms, 1.0)) * STEPS), -np.inf)
+        for step in np.unique(steps)[::-1]:  # longest first
+            some = steps == step
+            held = Bucket(ids[some], rows[some], q[some], norms[some])
+            reach = np.flatnonzero(by_norm * held.longest * 1.000001 >= least)
+            for i in reach.tolist():
+                found.append((int(by_row[i]), int(by_id[i]), *held.search(int(by_row[i]), vectors[i], float(by_norm[i]), float(least[i]), k)))
+    times = [len(x[2]) for x in found]
+    return pa.record_batch(
+        {
+            "query_row": pa.array(np.repeat([x[0] for x in found], times).astype(np.int64)),
+            "query_id": pa.array(np.repeat([x[1] for x in found], times).astype(np.int64)),
+            "vec_id": pa.array(np.concatenate([np.empty(0, np.int64), *(x[2] for x in found)])),
+            "score": pa.array(np.concatenate([np.empty(0, np.int64), *(x[3] for x in found)])),
+        }
+    )
+
+
+def _searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each task's part of the k best of ``queries`` (a round of bounded size, with ``least``)."""
+    sent = rows.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Queries(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                dims = part.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    some = part.filter(pa.array(dims == dim))
+                    yield _block(held, dim, *(some.column(c).to_numpy() for c in ("vec_id", "row")), _matrix(some.column("q")) if dim else None, some.column("norm").to_numpy(), k)
+
+    return rows.select("vec_id", "row", "q", "dim", "norm").mapInArrow(search, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all
-    rows with another id and as many components. Vectors that are null, or hold
-    a null or non-finite component, take no part; nor do rows without an id.
-    Rows that repeat an id are candidates one by one; a query repeated with the
-    same vector is one query. Zero vectors score 0. An empty table gives no rows.
-
-    Vectors are grouped by length and each bucket is dealt into blocks, however
-    many share a length. A query starts from its k-th best score among the
-    longest vectors, skips buckets whose length cannot reach it, and meets each
-    other block once, in blocks of queries: inside it prunes by length or by
-    coordinates, as its local cosine threshold says, and verifies what is left.
+    Every row whose id is divisible by ``every`` is a query, and all other rows
+    with as many components are its candidates: rows that repeat an id are
+    queries and candidates one by one, each with ranks of its own and each a
+    candidate of the others. Vectors that are null, or hold a null or non-finite
+    component, take no part; nor do rows without an id. Zero vectors score 0. An
+    empty table gives no rows.
+
+    Vectors are written once, longest first. Queries go to the tasks in rounds
+    of ``ROUND_MB`` at most, so no vector is copied or shuffled. A round first
+    searches the longest vectors and one in ``PILOT`` of the others: the k-th
+    score so far is each query's threshold. A block groups its vectors by length, skips groups
+    whose length cannot reach the threshold, prunes inside the others by length
+    or by coordinates, as the local cosine threshold says, and verifies what is
+    left. What tasks send on is k rows a query and block at most.
     """
-    rows = materialise(quantised(vectors, vec_id, embedding).where("vec_id is not null").withColumn("row", F.monotonically_increasing_id()), "vectors")
-    rows = rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * STEPS)).otherwise(-1_000_000))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "q", "dim", "norm").dropDuplicates(["query_id", "q"])
-
-    # Bounded: FIRST vectors of the number of components that most have.
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    width = dims[0]["dim"] if dims else 0
-    first = rows.where(F.col("dim") == width).orderBy(F.desc("norm"), "row").limit(FIRST).select("vec_id", "q", "norm").toArrow()
-    seeds = first.num_rows and Bucket(first.column("vec_id").to_numpy(), _matrix(first.column("q")), first.column("norm").to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast((seeds.ids, seeds.q, seeds.norms) if seeds and width else None)
-
-    def threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value and Bucket(*sent.value)
-        for batch in batches:
-            least = []
-            for one, q, norm in zip(batch.column("query_id").to_pylist(), batch.column("q"), batch.column("norm").to_pylist(), strict=True):
-                q = q.values.to_numpy()
-                found = held.search(one, q, norm, -np.inf, k)[1] if held and len(q) == held.q.shape[1] else ()
-                least.append(float(found[-1]) if len(found) == k else float("-inf"))
-            yield batch.append_column("least", pa.array(least, pa.float64()))
-
-    queries = materialise(queries.mapInArrow(threshold, "query_id long, q array<long>, dim int, norm double, least double"), "queries")
-    n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("norm").alias("longest"))
-    deal = [F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("query_block")] if n_query_blocks > 1 else [F.lit(0).alias("query_block")]
-    data = rows.join(sizes, ["dim", "bucket"]).select("dim", "bucket", F.pmod(F.xxhash64("row"), "blocks").alias("block"), "vec_id", "q", "norm", *deal)
-    # A query goes to the buckets that its threshold lets it reach.
-    asked = queries.join(sizes, "dim").where(F.expr("norm * longest * 1.000001 >= least"))
-    asked = asked.select(F.col("dim").alias("to_dim"), F.col("bucket").alias("to_bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("to_block"), "query_id", "q", "norm", "least", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int").alias("to_query_block"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows and left.column("dim")[0].as_py():
-            held = Bucket(left.column("vec_id").to_numpy(), _matrix(left.column("q")), left.column("norm").to_numpy())
-            of = zip(right.column("query_id").to_pylist(), _matrix(right.column("q")), right.column("norm").to_pylist(), right.column("least").to_pylist(), strict=True)
-            found = [(one, *held.search(one, q, norm, least, k)) for one, q, norm, least in of]
-        elif left.num_rows and right.num_rows:  # vectors without components
-            ids = np.sort(left.column("vec_id").to_numpy())
-            found = [(one, some := ids[ids != one][:k], np.zeros(len(some), np.int64)) for one in right.column("query_id").to_pylist()]
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64)),
-                "vec_id": pa.array(np.concatenate([np.empty(0, np.int64), *(x[1] for x in found)])),
-                "score": pa.array(np.concatenate([np.empty(0, np.int64), *(x[2] for x in found)])),
-            }
-        )
-
-    by = ["dim", "bucket", "block", "query_block"]
-    met = data.groupBy(*by).cogroup(asked.groupBy(*(f"to_{x}" for x in by))).applyInArrow(search, RESULT)
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = quantised(vectors, vec_id, embedding).where("vec_id is not null").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(F.desc("dim"), F.desc("norm"), "row").sortWithinPartitions(F.desc("dim"), F.desc("norm"))
+    rows = materialise(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "q", "dim", "norm")
+    size = asked.agg(F.sum(8 * (F.col("dim") + 4))).first()[0] or 0
+    rounds = max(1, int(-(-size // (ROUND_MB * 1_000_000))))
+    pilot = rows.where((F.col("place") < FIRST) | (F.pmod(F.xxhash64("row"), F.lit(PILOT)) == 0))
+    out = None
+    for n in range(rounds):
+        some = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_row"), F.lit(rounds)) == n)
+        if size:
+            first = _searched(pilot, some.withColumn("least", F.lit(float("-inf"))), k)
+            least = _best(first, k).groupBy("query_row").agg(F.min("score").alias("score"), F.count("*").alias("n"))
+            known = least.where(F.col("n") == k).select("query_row", F.col("score").cast("double").alias("least"))
+            some = some.join(known, "query_row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        else:
+            some = some.withColumn("least", F.lit(float("-inf")))
+        found = _best(_searched(rows, some, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if rounds > 1:  # one after another
+            found = materialise(found, f"round-{n}")
+        out = found if out is None else out.unionByName(found)
+    return out
