@@ -5,17 +5,15 @@ Only DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrill.llm.store import materialise, spare_name
+from quadrill.llm.store import bucketed, materialise, spare_name
 
 #: Where a text is cut into lines: after line ends, and after the sentences of long lines.
 LINE_END, SENTENCE_END = r"(?<=\n)(?![\r\n])", r"(?<=[.!?] )(?=\S)"
-#: One line in DIVISOR ends a chunk; no chunk is longer than MOST lines.
-DIVISOR, MOST = 2, 4
-#: Characters of a chunk, at least: shorter ones repeat by chance.
-LEAST_CHARS = 60
+#: One pair of lines in DIVISOR, about, ends a chunk.
+DIVISOR = 4
 
 
 def _lines(text: str, sentences: bool) -> str:
@@ -28,78 +26,127 @@ def _bare(line: str) -> str:
     return rf"rtrim(' \n\r\t', {line})"
 
 
-def _chunks(lines: str, divisor: int, least_chars: int) -> str:
-    """SQL for an array of (s, n, h): n lines from line s (from 0), and their hash.
+#: A rolling hash over line hashes ``a``: of every two lines that follow each other.
+ROLLING = "zip_with(slice(a, 1, greatest(size(a) - 1, 0)), slice(a, 2, greatest(size(a) - 1, 0)), (x, y) -> xxhash64(x, y))"
 
-    A chunk starts at every line and ends where the rolling hash of two lines
-    says so (or with the text, or after MOST lines): where it ends depends on
-    its own lines alone, so an insertion before or after shifts nothing. It has
-    two lines at least.
+
+def chunks(hashed: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(id, row, s, n, h): the chunks of n lines from line s (from 0), boundary to boundary.
+
+    A boundary follows the second line of a pair whose rolling hash is a multiple
+    of ``divisor``, unless the pair before it is one too. So it depends on three
+    lines alone and an insertion elsewhere shifts nothing, and chunks have two
+    lines at least (a last single line is no chunk).
     """
-    hashed = f"transform({lines}, l -> struct(xxhash64({_bare('l')}) AS x, length({_bare('l')}) AS c))"
-    ends = " ".join(f"WHEN i + {k} = size(a) - 1 OR pmod(xxhash64(get(a, i + {k - 1}).x, get(a, i + {k}).x), {divisor}) = 0 THEN {k + 1}" for k in range(1, MOST - 1))
-    starts = f"transform(slice(a, 1, greatest(size(a) - 1, 0)), (l, i) -> struct(i AS s, CASE {ends} ELSE {MOST} END AS n))"
-    chars = " + ".join(f"CASE WHEN c.n > {k} THEN get(a, c.s + {k}).c ELSE 0 END" for k in range(MOST))
-    long = f"filter({starts}, c -> {chars} >= {least_chars})"
-    out = f"transform({long}, c -> struct(c.s AS s, c.n AS n, xxhash64(transform(slice(a, c.s + 1, c.n), y -> y.x)) AS h))"
-    # One-element array: the only way to name an array inside an expression.
-    return f"flatten(transform(array({hashed}), a -> {out}))"
-
-
-def repeated(keyed: DataFrame, key: str, text: str, *, sentences: bool = True, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(h, key, s, n) of every chunk whose hash occurs more than once."""
-    # Written, as it is read twice and costs more to make than to keep: the
-    # chunks of a text lie together and take few bytes besides the hash.
-    chunks = materialise(keyed.select(F.col(key), F.expr(f"inline({_chunks(_lines(text, sentences), divisor, least_chars)})")), "chunks")
-    counts = chunks.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    return chunks.join(counts, "h")
-
-
-def _same_bytes(keyed: DataFrame, found: DataFrame, key: str, text: str, sentences: bool) -> DataFrame:
-    """The hashes of ``found`` all of whose chunks have the same bytes."""
-    # Every column of ``keyed`` stays in use, so that the shuffle of the texts
-    # is the one that ``dedup`` needs and Spark runs it once.
-    lists = found.groupBy(key).agg(F.collect_list(F.struct("h", "s", "n")).alias("found"))
-    joined = keyed.join(lists, key).where(F.xxhash64(*keyed.columns, F.size("found")) % 2 < 2)
-    chunks = joined.select(F.expr(f"inline(flatten(transform(array(transform({_lines(text, sentences)}, l -> {_bare('l')})), a -> transform(found, c -> struct(c.h AS h, array_join(slice(a, c.s + 1, c.n), '\\n') AS bytes)))))"))
-    return chunks.groupBy("h").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("h")
-
-
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: bool = True, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with a new text each, and a column n_removed: how many lines went.
+    rolled = hashed.withColumn("r", F.expr(ROLLING))
+    first = f"pmod(x, {divisor}) = 0 AND (i = 0 OR pmod(get(r, i - 1), {divisor}) <> 0) AND i + 2 < size(a)"
+    cut = rolled.withColumn("cuts", F.expr(f"filter(transform(r, (x, i) -> IF({first}, i + 2, -1)), c -> c > 0)"))
+    found = cut.withColumn("found", F.expr("filter(zip_with(concat(array(0), cuts), concat(cuts, array(size(a))), (s, e) -> struct(s AS s, e - s AS n)), c -> c.n > 1)"))
+    return found.select("id", "row", F.expr("inline(transform(found, c -> struct(c.s AS s, c.n AS n, xxhash64(slice(a, c.s + 1, c.n)) AS h)))"))
 
-    Lines end at line ends and, unless ``sentences`` is false, at sentence ends.
-    Of every chunk that repeats anywhere, within a text or across texts, one
-    occurrence stays: that of the document of least key (a hash of id and text),
-    first place. All others are removed, once the bytes of all occurrences of
-    the hash have been compared; a hash whose chunks differ removes nothing.
-    Lines are compared without the white space that ends them.
 
-    A null text stays null. Rows that repeat both id and text count
-    as one document: a chunk that only they hold is not repeated among them,
-    and each gets the same result. An empty table gives no rows. Columns that
-    ``docs`` has stay, whatever their names.
+def pairs(hashed: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, row, s, n, h): the smallest chunks, two lines each, that do not lie within one that is ``gone``."""
+    spans = gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    left = hashed.join(spans.hint("shuffle_hash"), "row", "left").withColumn("spans", F.expr("coalesce(spans, CAST(array() AS array<struct<s: int, e: int>>))"))
+    from_to = "zip_with(concat(array(0), transform(spans, x -> x.e - 1)), concat(transform(spans, x -> x.s - 1), array(size(a) - 2)), (f, t) -> IF(f <= t, sequence(f, t), CAST(array() AS array<int>)))"
+    return left.select("id", "row", F.expr(f"inline(transform(flatten({from_to}), i -> struct(i AS s, 2 AS n, xxhash64(get(a, i), get(a, i + 1)) AS h)))"))
 
-    Counts are aggregated before they are shuffled, and no join needs the rows
-    of a chunk in one task, so a chunk that very many documents hold is split.
-    """
-    key, n_removed = spare_name(docs, "key"), spare_name(docs, "n_removed")
-    keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
-    distinct = keyed.select(key, F.col(text).alias("text"))
-    found = materialise(repeated(distinct, key, "text", sentences=sentences, divisor=divisor, least_chars=least_chars).distinct(), "repeated-chunks")
-
-    first = found.groupBy("h").agg(F.min(F.struct(key, "s")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    sure = first.join(_same_bytes(keyed, found, key, f"`{text}`", sentences), "h", "left_semi")
-    gone = found.join(sure, "h").where(F.struct(key, "s") != F.col("first")).select(key, "s", (F.col("s") + F.col("n")).alias("e"))
-    # Chunks of one text overlap; what goes is a few intervals.
-    before = Window.partitionBy(key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+
+def repeated(occurrences: DataFrame) -> DataFrame:
+    """Those whose hash occurs more than once; counts are added up before they are shuffled."""
+    times = occurrences.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    return occurrences.join(times.hint("shuffle_hash"), "h")
+
+
+AT = ("id", "row", "s")
+
+
+def _span():
+    return "row", "s", (F.col("s") + F.col("n")).alias("e")
+
+
+def later(found: DataFrame) -> DataFrame:
+    """(row, s, e): those of ``found`` whose hash occurs earlier, by (id, row, s)."""
+    firsts = found.groupBy("h").agg(F.min(F.struct(*AT)).alias("first"))
+    return found.join(firsts.hint("shuffle_hash"), "h").where(F.struct(*AT) != F.col("first")).select(*_span())
+
+
+def with_bytes(found: DataFrame, texts: DataFrame, text: str, sentences: bool) -> DataFrame:
+    """``found`` with the bytes of each chunk."""
+    lists = found.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("h", "s", "n")).alias("found"))
+    joined = texts.select("row", text).join(lists.hint("shuffle_hash"), "row")
+    # One-element array: the only way to name the lines inside an expression.
+    each = f"inline(flatten(transform(array(transform({_lines(text, sentences)}, l -> {_bare('l')})), a -> transform(found, c -> struct(c.h AS h, c.s AS s, c.n AS n, array_join(slice(a, c.s + 1, c.n), '\\n') AS bytes)))))"
+    return joined.select("id", "row", F.expr(each))
+
+
+def unlike(compared: DataFrame) -> DataFrame:
+    """(h): hashes whose chunks differ in their bytes, practically none."""
+    return compared.select("h", "bytes").distinct().groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
+
+
+def later_by_bytes(found: DataFrame, texts: DataFrame, text: str, sentences: bool) -> DataFrame:
+    """``later`` where two texts share a hash: chunks of such hashes are told apart by their bytes."""
+    compared = with_bytes(found, texts, text, sentences)
+    odd = compared.join(unlike(compared), "h", "left_semi")
+    firsts = odd.groupBy("h", "bytes").agg(F.min(F.struct(*AT)).alias("first"))
+    told = odd.join(firsts, ["h", "bytes"]).where(F.struct(*AT) != F.col("first")).select(*_span())
+    return later(found.join(unlike(compared), "h", "left_anti")).unionByName(told)
+
+
+def _spans(gone: DataFrame) -> DataFrame:
+    """(row, spans): each row's intervals, merged and in order."""
+    before = Window.partitionBy("row").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     begins = gone.withColumn("new", F.coalesce((F.col("s") > F.max("e").over(before)).cast("int"), F.lit(1)))
-    parts = begins.withColumn("part", F.sum("new").over(Window.partitionBy(key).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    spans = parts.groupBy(key, "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    out = keyed.join(spans, key, "left")
-    lines = _lines(f"`{text}`", sentences)
-    kept = F.expr(f"array_join(filter({lines}, (l, i) -> NOT exists(gone, g -> i >= g.s AND i < g.e)), '')")
-    removed = F.coalesce(F.expr("aggregate(gone, 0, (n, g) -> n + g.e - g.s)"), F.lit(0))
-    new: dict[str, Column] = {c: F.col(f"`{c}`") for c in docs.columns}
-    new[text] = F.when(F.col("gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
-    return out.select(*(x.alias(c) for c, x in new.items()), removed.alias(n_removed))
+    parts = begins.withColumn("part", F.sum("new").over(Window.partitionBy("row").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("row", "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: bool = True, divisor: int = DIVISOR) -> DataFrame:
+    """``docs`` with a new text each, and a column n_removed: how many lines went.
+
+    Lines end at line ends and, unless ``sentences`` is false, at sentence ends;
+    they are compared without the white space that ends them. Chunks are of two
+    sizes. The large ones run from one content-defined boundary to the next and
+    take away most of what repeats. What they leave, the edges of repeated
+    passages and passages too short to hold a boundary, is chunked again as
+    finely as can be, two lines at every line. Of a chunk that repeats anywhere,
+    within a text or across texts, the first occurrence stays, by document id,
+    row and place; all others go, once their bytes have been compared. So every
+    run of two or more lines that has occurred before goes, each line of it
+    stays somewhere, and a single line that repeats by itself stays.
+
+    A null text stays null. Each row is a document: one that repeats another
+    loses what it repeats. An empty table gives no rows. Columns that ``docs``
+    has stay, whatever their names and types.
+
+    The rows are numbered and written once, dealt by their number, so that texts
+    are shuffled once and joined by it without a further shuffle. A chunk that very
+    many documents hold is added up before any shuffle, and the join that finds
+    its occurrences is followed by one, so that the adaptive planner can split it.
+    """
+    names, n_removed = docs.columns, spare_name(docs, "n_removed")
+    named = [f"c{k}" for k in range(len(names))]
+    own = named[names.index(text)]
+    texts = bucketed(docs.toDF(*named).withColumn("row", F.monotonically_increasing_id()), "row", "numbered")
+    hashes = f"transform({_lines(own, sentences)}, l -> xxhash64({_bare('l')}))"
+    hashed = materialise(texts.select(F.col(named[names.index(doc_id)]).alias("id"), "row", F.expr(hashes).alias("a")), "line-hashes")
+
+    large = materialise(repeated(chunks(hashed, divisor)), "repeated-chunks")
+    gone = materialise(later(large), "gone")
+    small = materialise(repeated(pairs(hashed, gone)), "repeated-pairs")
+    # The bytes of all are compared in one pass. Should two texts share a hash, both sizes are told apart anew.
+    if unlike(with_bytes(large.unionByName(small), texts, own, sentences)).take(1):
+        gone = materialise(later_by_bytes(large, texts, own, sentences), "gone")
+        small = materialise(repeated(pairs(hashed, gone)), "repeated-pairs")
+        all_gone = gone.unionByName(later_by_bytes(small, texts, own, sentences))
+    else:
+        all_gone = gone.unionByName(later(small))
+
+    out = texts.join(_spans(all_gone).hint("shuffle_hash"), "row", "left")
+    between = "zip_with(concat(array(0), transform(spans, x -> x.e)), concat(transform(spans, x -> x.s), array(size(l))), (f, t) -> slice(l, f + 1, t - f))"
+    kept = F.expr(f"array_join(flatten(transform(array({_lines(own, sentences)}), l -> flatten({between}))), '')")
+    removed = F.coalesce(F.expr("aggregate(spans, 0, (n, x) -> n + x.e - x.s)"), F.lit(0))
+    new = {c: F.col(c) for c in named} | {own: F.when(F.col("spans").isNull(), F.col(own)).otherwise(kept)}
+    return out.select(*(x.alias(n) for n, x in zip(names, new.values(), strict=True)), removed.alias(n_removed))

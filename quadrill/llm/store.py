@@ -43,6 +43,7 @@ def _remove() -> None:
         sc = spark.sparkContext
         if sc._jsc is None or sc._jvm is None:  # the session has ended already
             continue
+        spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1].replace('-', '_')}")
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -59,6 +60,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder, dealt by ``key``: joins by the key need no shuffle of it.
+
+    The table has a name of its own in the session's catalog, which goes with the files.
+    """
+    spark, parts = df.sparkSession, shuffle_parts(df.sparkSession)
+    path = scratch(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(parts, key).write.bucketBy(parts, key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def bounded_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
     """``n`` rows of ``df``, those of least ``key`` (a hash), or all if there are fewer.
 
