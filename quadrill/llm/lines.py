@@ -18,7 +18,8 @@ DIVISOR = 4
 
 def _lines(text: str, sentences: bool) -> str:
     """SQL for the lines of a text, each with the white space that ends it."""
-    cut = f"{LINE_END}|{SENTENCE_END}" if sentences else LINE_END
+    # The first test alone sends the matcher on from most characters.
+    cut = rf"(?<=[\n ])(?:{LINE_END}|{SENTENCE_END})" if sentences else LINE_END
     return f"split(coalesce({text}, ''), r'{cut}')"
 
 
@@ -54,8 +55,12 @@ def pairs(hashed: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def repeated(occurrences: DataFrame) -> DataFrame:
-    """Those whose hash occurs more than once; counts are added up before they are shuffled."""
-    times = occurrences.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    """Those whose hash occurs more than once; counts are added up before they are shuffled.
+
+    The counts are written: only joins of two plain shuffles can be split where
+    a hash is frequent.
+    """
+    times = materialise(occurrences.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "repeated-hashes")
     return occurrences.join(times.hint("shuffle_hash"), "h")
 
 
@@ -68,7 +73,7 @@ def _span():
 
 def later(found: DataFrame) -> DataFrame:
     """(row, s, e): those of ``found`` whose hash occurs earlier, by (id, row, s)."""
-    firsts = found.groupBy("h").agg(F.min(F.struct(*AT)).alias("first"))
+    firsts = materialise(found.groupBy("h").agg(F.min(F.struct(*AT)).alias("first")), "first-places")
     return found.join(firsts.hint("shuffle_hash"), "h").where(F.struct(*AT) != F.col("first")).select(*_span())
 
 
