@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from quadrill.llm.langid import held_out
 from quadrill.llm.store import bounded_sample, spare_name
 from quadrill.llm.words import batches, hashed_words, sliced
 
-#: Labelled documents that are learned from, at most half of each class.
-SAMPLE = 3000
+#: Labelled documents that are learned from, and MB of their features, at most half of each class.
+SAMPLE, SAMPLE_MB = 3000, 32
 #: Bytes of a passage.
 PASSAGE = 600
 #: Widths: byte classes, hashed byte pairs, word statistics; encoding; attention.
@@ -53,7 +53,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out[:, CLASSES : CLASSES + PAIRS] = np.bincount(of[1:][same] * PAIRS + pair[same], minlength=n * PAIRS).reshape(n, PAIRS) / size[:, None]
     if len(words.hashes):
         of_word = passage[words.starts]
-        n_words = np.maximum(1, np.bincount(of_word, minlength=n))
+        counted = np.bincount(of_word, minlength=n)  # none in a passage without words, whatever is beside it
+        n_words = np.maximum(1, counted)
         again = np.zeros(len(of_word), dtype=bool)
         again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (of_word[1:] == of_word[:-1])
         order = np.lexsort((words.hashes, of_word))
@@ -61,7 +62,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         had[1:] = (words.hashes[order][1:] == words.hashes[order][:-1]) & (of_word[order][1:] == of_word[order][:-1])
         out[:, -4] = np.bincount(of_word[again], minlength=n) / n_words
         out[:, -3] = np.bincount(of_word[order][had], minlength=n) / n_words
-        out[:, -2] = n_words / size
+        out[:, -2] = counted / size
     out[:, -1] = size / PASSAGE
     return np.sqrt(out), first
 
@@ -92,6 +93,10 @@ class Model:
         f = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         return cls(x.mean(0), x.std(0) + 1e-2, f(d, ENCODED), np.zeros(ENCODED, np.float32), f(ENCODED, ATTENTION), f(ENCODED, ATTENTION), f(ATTENTION), f(ENCODED), np.zeros(1, np.float32))
 
+    def wide(self) -> Model:
+        """The same model in doubles: neither threads nor batches of passages show in the digits that are kept."""
+        return Model(*(getattr(self, f.name).astype(np.float64) for f in fields(self)))
+
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         s = {"x": (x - self.mean) / self.scale}
         s["h"] = np.maximum(0, s["x"] @ self.encode + self.encode_b)
@@ -118,7 +123,7 @@ class Model:
         return {k: v + decay * getattr(self, k) for k, v in out.items()}
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 160, rate: float = 0.02, decay: float = 1e-4) -> Model:
-        """Adam over the whole sample; the same data give the same model."""
+        """Adam over the whole sample, in doubles: in floats, sums by several threads would show in the model."""
         m = {k: np.zeros_like(getattr(self, k)) for k in self.LEARNED}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.LEARNED}
         for step in range(1, steps + 1):
@@ -126,16 +131,19 @@ class Model:
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-                setattr(self, k, (getattr(self, k) - rate * (1 - 0.9 * step / steps) * move).astype(np.float32))
+                setattr(self, k, (getattr(self, k) - rate * (1 - 0.9 * step / steps) * move))
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` labelled documents that are not held out.
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_mb: float = SAMPLE_MB) -> Model | None:
+    """A model of at most ``sample`` labelled documents that are not held out, learned in one executor task.
 
-    Labels that repeat an id count once, by their mean; rows of least hash are
-    taken, half of each class, and weighted back to the classes' shares. None if
-    a class has no document to learn from.
+    Labels that repeat an id count once, by their mean. Ids of least hash are
+    taken, half of each class, and weighted back to the classes' shares; the
+    task reads their passages in that order until a class has ``sample_mb`` / 2
+    of features or half of ``sample`` documents (rows that repeat an id are
+    documents each, in order of their features). None if a class has no document
+    to learn from.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -145,55 +153,70 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     for y in (0, 1):
         half = bounded_sample(known.where(F.col("y") == y), F.xxhash64("id"), sample // 2, shares[y])
         some = half if some is None else some.unionByName(half)
-    # At most ``sample`` rows of two numbers; a document that repeats an id could still be many rows.
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    # At most ``sample`` rows of two numbers.
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").select(F.xxhash64("id").alias("h"), "text", "y")
 
     def encoded(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(chunks):
-            all_texts, ys = batch.column("text").to_pylist(), batch.column("y").to_pylist()
+            all_texts = batch.column("text").to_pylist()
             for part in batches(all_texts):
                 x, first = features(all_texts[part])
-                bags = np.split(x, first[1:])
-                yield pa.record_batch({"x": pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary()), "y": pa.array(ys[part], pa.int32())})
-
-    rows = texts.select("text", "y").mapInArrow(encoded, "x binary, y int").toArrow()
-    ys = rows.column("y").to_numpy()
-    if len(set(ys.tolist())) < 2:
-        return None
-    bags = [np.frombuffer(b.as_py(), np.float16).reshape(-1, CLASSES + PAIRS + STATS).astype(np.float32) for b in rows.column("x")]
-    first = np.cumsum([0, *(len(b) for b in bags[:-1])])
-    total = sum(shares.values())
-    weight = np.where(ys == 1, shares[1] / total / (ys == 1).mean(), shares[0] / total / (ys == 0).mean())
-    x = np.concatenate(bags)
-    return Model.start(x).fit(x, first, ys, weight)
+                bags = [b.astype(np.float16).tobytes() for b in np.split(x, first[1:])]
+                yield pa.record_batch([batch.column("h")[part], pa.array(bags, pa.binary()), batch.column("y")[part]], names=["h", "x", "y"])
+
+    def fit(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: list[np.ndarray] = []
+        ys: list[int] = []
+        room, places = {0: sample_mb * 5e5, 1: sample_mb * 5e5}, {0: sample // 2, 1: sample // 2}
+        for batch in chunks:
+            for x, y in zip(batch.column("x"), batch.column("y").to_pylist(), strict=True):
+                if room[y] > 0 and places[y] > 0:
+                    data = x.as_py()
+                    room[y] -= len(data)
+                    places[y] -= 1
+                    bags.append(np.frombuffer(data, np.float16).reshape(-1, CLASSES + PAIRS + STATS).astype(np.float32))
+                    ys.append(y)
+        if len(set(ys)) == 2:
+            y = np.array(ys)
+            first = np.cumsum([0, *(len(b) for b in bags[:-1])])
+            weight = np.where(y == 1, shares[1] / (y == 1).mean(), shares[0] / (y == 0).mean()) / sum(shares.values())
+            x = np.concatenate(bags)
+            yield pa.record_batch({"model": pa.array([pickle.dumps(Model.start(x).wide().fit(x, first, y, weight))], pa.binary())})
+
+    ordered = texts.mapInArrow(encoded, "h long, x binary, y int").repartition(1).sortWithinPartitions("h", "x")
+    found = ordered.mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, score; with ``keep`` all columns of ``docs`` and the score. Without a model each score is one half."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of fixed size
+    at = docs.columns.index(text) if keep else 1
 
     def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pickle.loads(sent.value)
         for batch in sliced(chunks):
-            texts, found = batch.column(text).to_pylist(), []
+            texts, found = batch.column(at).to_pylist(), []
             for part in batches(texts):
-                found += held.forward(*features(texts[part]))["p"].tolist() if held else [0.5] * len(texts[part])
+                found += held.forward(*features(texts[part]))["p"].round(6).tolist() if held else [0.5] * len(texts[part])
             score = pa.array(found, pa.float64())
             if keep:
-                yield pa.record_batch([*batch.columns, score], schema=batch.schema.append(pa.field(new, pa.float64())))
+                yield pa.record_batch([*batch.columns, score], schema=batch.schema.append(pa.field("score", pa.float64())))
             else:
-                yield pa.record_batch([batch.column(doc_id).cast(pa.int64()), score], names=["doc_id", "score"])
+                yield pa.record_batch([batch.column(0), score], names=["doc_id", "score"])
 
     if not keep:
-        return docs.select(doc_id, text).mapInArrow(of, "doc_id long, score double")
-    new = spare_name(docs, "score")
-    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField(new, T.DoubleType())]))
+        return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, score double")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots have no place in a schema of batches
+    scored = plain.mapInArrow(of, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.toDF(*docs.columns, spare_name(docs, "score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from a score of one half on): one row a row of ``docs``.
 
-    Scores depend on the whole text alone. A null text is scored like an empty
+    Scores depend on the whole text alone and have six digits, so equal texts
+    have equal scores, and a score of just one half is predicted 1. A null text is scored like an empty
     one. Rows that repeat an id each get their row; an empty table gives none;
     without labels of both classes every score is one half.
     """
