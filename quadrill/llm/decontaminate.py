@@ -17,7 +17,7 @@ from quadrill.llm.words import batches, hashed_words, mix, sliced
 #: A seed is two words next to each other or with one between them.
 APART = (1, 2)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of an item, at least.
+#: Shorter items have too few words to align: only a document of just their words is a copy.
 LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A copy aligns with this share of the item's greatest score or more.
@@ -65,6 +65,7 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    short: dict[tuple[int, ...], list[int]]
 
     @classmethod
     def of(cls, ids: list[int], words: list[np.ndarray], counts: dict[int, int] | None = None, least: float = SCORE) -> Items:
@@ -93,7 +94,11 @@ class Items:
         key, item, at = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.uint64, keys), (np.int64, items), (np.int64, ats)))
         order = np.argsort(key, kind="stable")
         seeds, first = np.unique(key[order], return_index=True)
-        return cls(ids, words, seeds, np.append(first, len(key)), item[order].astype(np.int64), at[order].astype(np.int64))
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(words):
+            if 0 < len(w) < LEAST_WORDS:
+                short.setdefault(tuple(w.tolist()), []).append(k)
+        return cls(ids, words, seeds, np.append(first, len(key)), item[order].astype(np.int64), at[order].astype(np.int64), short)
 
     def filter(self) -> np.ndarray:
         """A table by the low bits of a hash that tells most n-grams of a text from seeds."""
@@ -186,6 +191,10 @@ def _find(texts: DataFrame, items: Items, least: float) -> DataFrame:
                     one = matches_in(words[offsets[d] : offsets[d + 1]], held.words[k], start[a:b] - offsets[d], least)
                     if one:
                         out.append((ids[part.start + d], held.ids[k], *one))
+                sizes = np.diff(offsets)
+                for d in np.flatnonzero((sizes > 0) & (sizes < LEAST_WORDS)).tolist() if held.short else ():
+                    for k in held.short.get(tuple(words[offsets[d] : offsets[d + 1]].tolist()), ()):
+                        out.append((ids[part.start + d], held.ids[k], 1.0, 0, int(sizes[d])))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "score", "from_word", "to_word"), r, strict=True)) for r in out], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("from_word", pa.int64()), ("to_word", pa.int64())])
@@ -201,8 +210,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     ``least`` or more to meet one. A text with a seed is aligned with the item around it (match 2, mismatch and gap
     -1): score is the share of the greatest score that the item can have. One
     row a document row and item with a score of ``least`` or more, its best
-    place; documents without a match give none. Null texts match nothing, nor do
-    items without an id or of fewer than three words. Rows that repeat an id
+    place; documents without a match give none. An item of one or two words
+    matches a document that has just these words. Null texts match nothing, nor
+    do items without an id or a word. Rows that repeat an id
     each give theirs; an item repeated with the same text is one item.
 
     Tasks hold the items, whose size is measured first: beyond
@@ -221,6 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         ids = [i for i, _ in rows]
         chosen = Items.of(ids, words, corpus_counts(texts, Items.of(ids, words)), least)
         one = _find(texts, chosen, least)
+        if rounds > 1:  # one after another, so that the driver and the tasks hold the items of one
+            one = materialise(one, f"round-{k}")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -88,6 +88,13 @@ def test_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in d.contaminated(df, bench).collect()} == want and {(900, 0), (901, 0)} <= want
 
 
+def test_short_items_are_whole_documents(spark):
+    items = [(1, "two words"), (2, "One."), (3, "three short words"), (4, "?!"), (5, "two words")]
+    docs = [(1, "Two, words!"), (2, "one"), (3, "one two words"), (4, ""), (5, None), (6, "words two"), (7, "TWO WORDS"), (8, "three short words")]
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (1, 5, 1.0), (2, 2, 1.0), (7, 1, 1.0), (7, 5, 1.0), (8, 3, 1.0)]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
