@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.llm.components import components
-from quadrill.llm.store import materialise, spare_name
+from quadrill.llm.store import materialise, shuffle_parts
 
 SEED = 42
 #: Bits of a fingerprint in each of its three segments, and where they start.
@@ -20,6 +20,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_APART = 3
 #: Fingerprints of a key are compared in blocks of about this many.
 BLOCK = 4096
+FINGERPRINTS_A_TASK = 500_000
 
 
 def fingerprint(text: str | None, words_a_shingle: int = 3) -> int:
@@ -203,7 +204,9 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     itself: no group meets in one task, and what comes out of a pair of blocks
     is a forest, not all pairs.
     """
-    keyed = _keyed(fps)
+    # A fingerprint takes few bytes and has some 70 keys: dealt out first, or few tasks would make them all.
+    parts = max(shuffle_parts(fps.sparkSession), -(-fps.count() // FINGERPRINTS_A_TASK))
+    keyed = materialise(_keyed(fps.select("fp").repartition(parts)), "keys")
     met = keyed.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("nl"), F.count_if(F.col("side") == 1).alias("nr"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     met = met.where("nl > 0 and nr > 0 and a <> b").select("key", F.ceil(F.col("nl") / block).cast("int").alias("bl"), F.ceil(F.col("nr") / block).cast("int").alias("br"))
     own = F.when(F.col("side") == 0, F.pmod(F.xxhash64("fp"), "bl")).otherwise(F.pmod(F.xxhash64("fp"), "br")).cast("int")
@@ -231,20 +234,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.join(least, "root").select("fp", "component_id")
     # Few fingerprints have links; the others' component is their own least id.
-    whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # It is written, as only a join of two plain shuffles can be split where many documents share a fingerprint.
+    whole = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "whole")
     return fps.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each near-duplicate group, with all their columns.
-
-    Every row is a document of its own, whether it repeats an id or has none.
-    The row with a group's smallest id stays (of rows that repeat it, or where
-    no row has one, the first).
-    """
-    row = spare_name(docs, "row")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, doc_id=row, text=text).select(F.col("doc_id").alias("at"), "component_id")
-    ids = numbered.select(F.col(row).alias("at"), F.col(f"`{doc_id}`").alias("id"))
-    stay = found.join(ids, "at").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least")).select(F.col("least.at").alias(row))
-    return numbered.join(stay, row, "left_semi").drop(row)
