@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.llm.store import materialise
-from quadrill.llm.tokens import crc32_of_ids, encoder
+from quadrill.llm.tokens import MOST_KEPT, crc32_of_ids, encoder
+from quadrill.llm.words import sliced
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,8 @@ def cut(n: int, most: int) -> Iterator[tuple[int, int]]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
 #: A group of pieces is packed in one go; its bins are searched for each piece.
 MOST_IN_A_GROUP = 8192
+#: Pieces with their ids are packed in smaller groups, so that a task holds no more bytes.
+MOST_WITH_IDS = 2048
 #: Sequences with less than this share of tokens are packed again with others.
 WELL_FILLED = 0.995
 
@@ -108,16 +111,19 @@ def _place(rows: list[tuple], cap: Capacity, base: int, sign: int) -> tuple[pa.R
         "filled": pa.array(filled[bins]),
     }
     if ids:
-        columns["input_ids"] = pa.array(ids[0], pa.list_(pa.int32()))
+        flat = np.concatenate([np.asarray(x) for x in ids[0]]).astype(np.int32)
+        columns["input_ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths.to_numpy())]), pa.int32()), pa.array(flat))
     return pa.record_batch(columns), len(filled)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None = None, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None = None, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, most_kept: int = MOST_KEPT) -> DataFrame:
     """Pieces of all documents and their places, one row a piece.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
     ``input_ids`` if ``with_ids``.
 
+    ``most_kept`` bounds the words whose ids a Python worker keeps.
+
     Each task encodes and packs what it reads, without a shuffle; the sequences
     that stay less than well filled give their pieces (some numbers a piece, no
     text) to a second round over groups dealt at random, so that only the last
@@ -129,9 +135,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None
     cap = capacity or Capacity()
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = PIECES + ", input_ids array<int>" * with_ids
+    most = MOST_WITH_IDS if with_ids else MOST_IN_A_GROUP
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, most_kept)
         end = np.array([end_id], dtype=code.dtype).tobytes()
         base, rows = TaskContext.get().partitionId() << 33, []
         for batch in batches:
@@ -141,8 +148,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None
                     all_ids = np.frombuffer(found + end, dtype=code.dtype)
                     for k, (s, n) in enumerate(cut(len(all_ids), cap.tokens)):
                         own = all_ids[s : s + n]
-                        rows.append((one, k, s, n, crc32_of_ids(own), own.astype(np.int32)) if with_ids else (one, k, s, n, crc32_of_ids(own)))
-                if len(rows) >= MOST_IN_A_GROUP:
+                        rows.append((one, k, s, n, crc32_of_ids(own), own) if with_ids else (one, k, s, n, crc32_of_ids(own)))
+                if len(rows) >= most:
                     out, n_bins = _place(rows, cap, base, 1)
                     yield out
                     base, rows = base + n_bins, []
@@ -152,18 +159,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: Capacity | None
     packed = materialise(kept.mapInArrow(first, schema), "packed")
     full = F.col("filled") >= int(WELL_FILLED * cap.tokens)
     rest = packed.where(~full)
-    groups = max(1, -(-rest.count() // MOST_IN_A_GROUP))
+    groups = max(1, -(-rest.count() // most))
     # Dealt in turn, not by a key: rows that repeat an id spread like any other.
     dealt = rest.drop("sequence_id", "offset", "filled").repartition(groups)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, rows = -1 - (TaskContext.get().partitionId() << 33), []
-        for batch in batches:
-            rows += zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True)
-            while len(rows) >= 2 * MOST_IN_A_GROUP:
-                out, n_bins = _place(rows[:MOST_IN_A_GROUP], cap, base, -1)
+        for batch in sliced(batches):
+            rows += zip(*(([x.values.to_numpy() for x in batch.column(c)] if c == "input_ids" else batch.column(c).to_pylist()) for c in batch.schema.names), strict=True)
+            while len(rows) >= 2 * most:
+                out, n_bins = _place(rows[:most], cap, base, -1)
                 yield out
-                base, rows = base - n_bins, rows[MOST_IN_A_GROUP:]
+                base, rows = base - n_bins, rows[most:]
         if rows:
             yield _place(rows, cap, base, -1)[0]
 

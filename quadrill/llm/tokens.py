@@ -21,6 +21,10 @@ SPACES = "\t-\r \x85\xa0"
 LATIN_CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
+#: Words whose ids an encoder keeps, some 200 bytes each.
+MOST_KEPT = 1_100_000
+
+
 class Encoder:
     """Encodes texts to little-endian ids in the narrowest unsigned type.
 
@@ -33,7 +37,7 @@ class Encoder:
     library as they are.
     """
 
-    def __init__(self, path: str, most_kept: int = 1_100_000):
+    def __init__(self, path: str, most_kept: int = MOST_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task a core already
         from tokenizers import Tokenizer
 
@@ -106,9 +110,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_kept: int = MOST_KEPT) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, most_kept)
 
 
 def crc32_of_ids(ids: np.ndarray) -> int:
