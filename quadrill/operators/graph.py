@@ -8,7 +8,9 @@ in few steps where it lies in memory, which a batch job must first load.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import io
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -17,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrill.functions import labels as label_sets
+from quadrill.functions.boxes import Box
 from quadrill.functions.metrics import Metric
 from quadrill.operators.codes import index_view, viewed
+from quadrill.operators.grid import FLAT, Grid
 from quadrill.operators.search import search
 from quadrill.plans.options import IndexOptions
 
@@ -54,8 +58,11 @@ class ShardGraph:
             return [] if self.start is None else [self.start]
         return sorted({self.starts[x] for x in wanted if x in self.starts})
 
-    def walk(self, q: np.ndarray, list_size: int, wanted: frozenset[int] | None = None, seeds: Iterable[int] = ()) -> list[tuple[float, int]]:
-        """Best-first: expands the nearest unexpanded point until ``list_size`` nearer ones are; all expanded points, nearest first."""
+    def walk(self, q: np.ndarray, list_size: int, wanted: frozenset[int] | None = None, seeds: Iterable[int] = (), inside: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """Best-first: expands the nearest unexpanded point until ``list_size`` nearer ones are; all expanded points, nearest first.
+
+        Points that are not ``inside`` are steps on the way but never found.
+        """
         first = list(seeds) or self.entries(wanted)
         if not first:
             return []
@@ -67,8 +74,8 @@ class ShardGraph:
             d, p = heapq.heappop(heap)
             if len(done) >= list_size and d >= done[list_size - 1][0]:
                 break
-            done.append((d, p))
-            done.sort()
+            if inside is None or inside[p]:
+                bisect.insort(done, (d, p))
             near = [x for x in self.links[p] if x not in seen and (wanted is None or self.labels is None or self.labels[x] & wanted)]
             seen.update(near)
             if near:
@@ -204,3 +211,82 @@ def search_graph(df: DataFrame, graph: DataFrame, query: Sequence[float], k: int
     near = candidates(graph, query, k, metric=metric, dims=dims, list_size=list_size, labels=labels, seeds=seeds).withColumnRenamed("id", "__near")
     found = df.join(near.distinct(), F.col(id) == F.col("__near"), "left_semi")
     return search(found, query, k, id=id, embedding=embedding, metric=metric, labels=labels, **filters)
+
+
+#: A shard a row: its arrays in one value, which no reader splits.
+SHARDS = "shard int, points long, arrays binary"
+BOXED = ("xmin", "ymin", "xmax", "ymax")
+
+
+def shards(df: DataFrame, *, id: str = "id", embedding: str = "embedding", labels: str | None = None, options: IndexOptions, dims: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The graph of ``df`` to be stored, a shard a row, with the boxes of its points."""
+    o = options.resolved(dims, labels is not None)
+    rows = df.where(F.col(embedding).isNotNull()).select(
+        F.col(id).cast("long").alias("id"), index_view(embedding, o.metric, o.num_dimensions).alias("view"), (label_sets.normalise(labels).cast("array<int>") if labels else F.lit(None).cast("array<int>")).alias("labels"), *BOXED
+    )
+    n = max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        sets = None if labels is None else [frozenset(map(int, x)) for x in pdf["labels"]]
+        g = ShardGraph(np.stack(pdf["view"].to_list()), sets, o.metric, o.num_neighbors, o.search_list_size, o.max_alpha).build()
+        out = io.BytesIO()
+        flat = {"links": g.links, "labels": [sorted(x) for x in sets or [()] * len(pdf)]}
+        arrays = {name: np.array([x for own in each for x in own], dtype=np.int64) for name, each in flat.items()}
+        ends = {f"{name}_ends": np.cumsum([len(own) for own in each]) for name, each in flat.items()}
+        np.savez(out, ids=pdf["id"].to_numpy(), points=g.points, boxes=pdf[list(BOXED)].to_numpy(), start=g.start, starts=np.array(sorted(g.starts.items()), dtype=np.int64).reshape(-1, 2), labelled=sets is not None, **arrays, **ends)
+        return pd.DataFrame({"shard": [pdf["shard"][0]], "points": [len(pdf)], "arrays": [out.getvalue()]})
+
+    return rows.groupBy("shard").applyInPandas(shard, SHARDS)
+
+
+def loaded(data: bytes, metric: Metric) -> tuple[ShardGraph, np.ndarray, np.ndarray]:
+    """The graph, the ids and the boxes of a stored shard."""
+    a = np.load(io.BytesIO(data))
+    split = lambda name: [x.tolist() for x in np.split(a[name], a[f"{name}_ends"][:-1])]
+    g = ShardGraph(a["points"], [frozenset(x) for x in split("labels")] if a["labelled"] else None, metric, 0, 0, 1.0)
+    g.links, g.start, g.starts = split("links"), int(a["start"]), dict(a["starts"].tolist())
+    return g, a["ids"], a["boxes"]
+
+
+def walked(stored: DataFrame, query: Sequence[float], k: int, *, metric: Metric | str, dims: int = 0, list_size: int = 100, labels: Iterable[int] | None = None, box: Box | None = None, grid: Grid | None = None, seeds_a_cell: int = 2) -> DataFrame:
+    """(id): what a walk through each stored shard finds; each task reads its shards, nothing is shuffled.
+
+    With a ``box`` only points that overlap it are found, and with a ``grid``
+    walks start from ``seeds_a_cell`` points of every cell that the box reaches.
+    """
+    m, wanted = Metric.of(metric), None if labels is None else frozenset(int(x) for x in labels if x is not None)
+    q, most = np.array(viewed(list(query), m, dims)), max(k, list_size)
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["arrays"]:
+                g, ids, boxes = loaded(data, m)
+                inside, seeds = None, ()
+                if box is not None:
+                    whole = (boxes[:, 0] <= boxes[:, 2]) & (boxes[:, 1] <= boxes[:, 3])
+                    inside = whole & (boxes[:, 0] <= box.xmax) & (boxes[:, 2] >= box.xmin) & (boxes[:, 1] <= box.ymax) & (boxes[:, 3] >= box.ymin)
+                    if grid is not None:
+                        seeds = _seeds(np.flatnonzero(inside), boxes, grid, seeds_a_cell)
+                    if not inside.any():
+                        continue
+                if wanted is not None and g.labels is not None:
+                    seeds = [p for p in seeds if g.labels[p] & wanted]
+                yield pd.DataFrame({"id": ids[[p for _, p in g.walk(q, most, wanted, seeds, inside)]].astype(np.int64)})
+
+    return stored.select("arrays").mapInPandas(walk, "id long")
+
+
+def _seeds(rows: np.ndarray, boxes: np.ndarray, grid: Grid, a_cell: int) -> list[int]:
+    """Rows that stand for the cells of their centres: ``a_cell`` of each at even steps."""
+    if not len(rows):
+        return []
+    x, y = (boxes[rows, 0] + boxes[rows, 2]) / 2, (boxes[rows, 1] + boxes[rows, 3]) / 2
+    at = lambda v, low, high, n: np.clip(np.floor((v - low) / max(high - low, FLAT) * n), 0, n - 1).astype(np.int64)
+    cell = at(y, grid.ymin, grid.ymax, grid.rows) * grid.cols + at(x, grid.xmin, grid.xmax, grid.cols)
+    order = np.argsort(cell, kind="stable")
+    out: list[int] = []
+    for own in np.split(rows[order], np.flatnonzero(np.diff(cell[order])) + 1):
+        out += own[np.unique(np.arange(a_cell) * len(own) // a_cell)].tolist()
+    return out

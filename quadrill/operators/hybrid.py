@@ -62,3 +62,34 @@ def install(spark: SparkSession) -> bool:
     for head, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quadrill_{head} RETURN {body}")
     return True
+
+
+def install_tables(spark: SparkSession, table: str, *, id: str = "id", embedding: str = "embedding", prefix: str = "quadrill") -> list[str]:
+    """SQL table functions over ``table`` (a view or table with box columns), for each metric; their names.
+
+    ``hybrid_bbox_<metric>(query, xmin, ymin, xmax, ymax, k, candidate_limit)``
+    and ``hybrid_dwithin_<metric>(query, x, y, radius, k, candidate_limit)`` give
+    (row_id, distance), nearest first by their callers' ORDER BY. The functions
+    of ``install`` come with them; bad arguments are errors.
+    """
+    install(spark)
+    box = "quadrill_bbox_overlaps(xmin, ymin, xmax, ymax, {0})"
+    near = "sqrt(pow(greatest(xmin - x, 0D, x - xmax), 2) + pow(greatest(ymin - y, 0D, y - ymax), 2)) <= radius"
+    kinds = {
+        "bbox": ("bxmin DOUBLE, bymin DOUBLE, bxmax DOUBLE, bymax DOUBLE", box.format("bxmin, bymin, bxmax, bymax"), "0D"),
+        "dwithin": ("x DOUBLE, y DOUBLE, radius DOUBLE", f"{box.format('x - radius, y - radius, x + radius, y + radius')} AND {near}", "radius"),
+    }
+    distances = {"l2": "l2_distance", "cosine": "cosine_distance", "ip": "negative_inner_product"}
+    made = []
+    for kind, (parameters, where, radius) in kinds.items():
+        for metric, f in distances.items():
+            name = f"{prefix}_hybrid_{kind}_{metric}"
+            good = f"assert_true(k > 0 AND candidate_limit > 0 AND {radius} >= 0D, 'k and candidate_limit must be positive, the radius not negative') IS NULL"
+            some = f"SELECT {id} AS i, {embedding} AS v, row_number() OVER (ORDER BY {id}) AS place FROM {table} WHERE {where} AND {embedding} IS NOT NULL"
+            ranked = f"SELECT i, quadrill_{f}(v, query) AS distance FROM ({some}) WHERE place <= candidate_limit"
+            spark.sql(
+                f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, {parameters}, k INT, candidate_limit INT) RETURNS TABLE (row_id STRING, distance DOUBLE) RETURN "
+                f"SELECT CAST(i AS STRING) AS row_id, distance FROM (SELECT i, distance, row_number() OVER (ORDER BY distance, i) AS place FROM ({ranked})) WHERE place <= k AND {good}"
+            )
+            made.append(name)
+    return made

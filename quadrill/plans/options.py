@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from quadrill.functions.metrics import Metric
 
 #: Limits of vectors and of their storage.
-MOST_DIMENSIONS, MOST_PLAIN_DIMENSIONS = 16000, 2000
+MOST_DIMENSIONS, MOST_PLAIN_DIMENSIONS, MOST_CHOSEN_DIMENSIONS = 16000, 2000, 5000
 MOST_DIMENSIONS_OF_WIDE_CODES, TWO_BITS_BELOW = 930, 900
 DEFAULT_NEIGHBORS = 50
 LAYOUTS = {"plain": "plain", "memory_optimized": "memory_optimized", "bq_compression": "memory_optimized"}
@@ -41,7 +41,7 @@ class IndexOptions:
             _within("num_neighbors", self.num_neighbors, 10, 1000)
         _within("search_list_size", self.search_list_size, 10, 1000)
         _within("max_alpha", self.max_alpha, 1.0, 5.0)
-        _within("num_dimensions", self.num_dimensions, 0, 5000)
+        _within("num_dimensions", self.num_dimensions, 0, MOST_DIMENSIONS)
         _within("num_bits_per_dimension", self.num_bits_per_dimension, 0, 32)
 
     def resolved(self, dims: int, labels: bool = False) -> IndexOptions:
@@ -55,6 +55,8 @@ class IndexOptions:
             raise ValueError("vectors must have components")
         _within("the number of components", dims, 1, MOST_PLAIN_DIMENSIONS if plain else MOST_DIMENSIONS)
         used = self.num_dimensions or dims
+        if self.num_dimensions > MOST_CHOSEN_DIMENSIONS and self.num_dimensions != dims:
+            raise ValueError(f"num_dimensions must be at most {MOST_CHOSEN_DIMENSIONS}, or all")
         if used > dims:
             raise ValueError(f"num_dimensions {used} is more than the {dims} that vectors have")
         bits = self.num_bits_per_dimension or (2 if not plain and used < TWO_BITS_BELOW else 1)

@@ -144,7 +144,81 @@ def test_box_filter_reaches_the_scan(spark, tmp_path, capsys):
     index.search(Q, 5, box=BOX, settings=EXACT).select("id", "distance").explain("formatted")
     plan = capsys.readouterr().out
     assert "LessThanOrEqual(xmin,0.6)" in plan and "GreaterThanOrEqual(ymax,0.2)" in plan and "TakeOrderedAndProject" in plan
-    assert "name" not in plan.split("ReadSchema")[1].split("\n")[0] and "Exchange" not in plan
+    assert "name" not in plan.split("ReadSchema")[1].split("\n")[0]
+    # The ids that the postings name are sent to the table, which is not shuffled.
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "postings" in plan and plan.count("BroadcastExchange") >= 1
+
+
+def test_update_is_one_version(spark, tmp_path):
+    index = SpatialIndex.build(rows(spark, 40), f"file://{tmp_path}/i")
+    before = index.manifest["version"]
+    index.update(rows(spark, 10, 35, seed=4))
+    assert index.manifest["version"] == before + 1 and sorted(r.id for r in index.rows().collect()) == list(range(45))
+    assert index.rows().where("id >= 35").count() == 10
+
+
+def test_compaction_leaves_one_folder(spark, tmp_path):
+    index, df = SpatialIndex.build(rows(spark, 60), f"file://{tmp_path}/i"), rows(spark, 20, 60, seed=3)
+    index.insert(df).delete(df.where("id % 2 = 0").select("id")).insert(df.where("id % 4 = 0").withColumn("extra", F.lit(1)))
+    assert len(index.manifest["base"]) == 3
+    want = sorted(r.id for r in index.rows().collect())
+    assert want == [*range(60), *(k for k in range(60, 80) if k % 4 == 0 or k % 2)]
+    index.compact()
+    assert (len(index.manifest["base"]), index.manifest["tombstones"], index.manifest["overflow_rows"]) == (1, [], 0)
+    assert sorted(r.id for r in index.rows().collect()) == want and index.rows().where("extra = 1").count() == 5
+    assert ids(index.search(Q, 10)) == truth(index.rows(), Q, 10, "cosine")
+    assert sorted(r.id for r in index.fetch(spark.createDataFrame([(1,), (61,), (62,), (999,)], "id long")).collect()) == [1, 61]
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """12,000 rows around some centres, as embeddings are, two graph shards."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 24))
+    data = []
+    for k in range(12000):
+        x, y = rng.uniform(0, 1, 2).tolist()
+        v = centres[rng.integers(60)] + 0.6 * rng.normal(size=24)
+        data.append((k, v.tolist(), x - 0.005, y - 0.005, x + 0.005, y + 0.005, [k % 5, k * 3 % 7 + 5], ""))
+    df = spark.createDataFrame(data, "id long, embedding array<float>, xmin double, ymin double, xmax double, ymax double, labels array<smallint>, name string").repartition(8)
+    path = f"file://{tmp_path_factory.mktemp('large')}/i"
+    index = SpatialIndex.build(df, path, IndexOptions(num_neighbors=24, search_list_size=64), labels="labels", graph=True, shard_rows=6000)
+    return index, [(r[0], np.array(r[1]), r[2:6], set(r[6])) for r in data], rng
+
+
+def _hits(index, data, query, settings, box=None, labels=None):
+    unit = query / np.linalg.norm(query)
+    near = sorted((-(v @ unit) / np.linalg.norm(v), i) for i, v, b, own in data if (box is None or b[0] <= box.xmax and b[2] >= box.xmin and b[1] <= box.ymax and b[3] >= box.ymin) and (labels is None or own & set(labels)))
+    found = index.search(query.tolist(), 20, box=box, labels=labels, settings=settings).collect()
+    return len({i for _, i in near[:20]} & {r.id for r in found})
+
+
+@pytest.mark.parametrize(("options", "least"), [({}, 18), ({"box": Box(0.2, 0.1, 0.7, 0.7)}, 18), ({"labels": [2]}, 18), ({"box": Box(0.2, 0.1, 0.7, 0.7), "labels": [2, 7]}, 16)])
+def test_recall_of_stored_graphs(large, options, least):
+    """Lists of 100 among 12,000 rows, over 20 queries."""
+    index, data, rng = large
+    settings = Settings(query_search_list_size=100, spatial_brute_force_threshold=100)
+    assert index.path_of(options.get("box"), settings) is (Path.HYBRID if "box" in options else Path.GRAPH)
+    hits = [_hits(index, data, data[int(k)][1] + 0.1, settings, **options) for k in rng.integers(0, 12000, 20)]
+    assert np.mean(hits) >= least and min(hits) >= least - 4
+
+
+def test_graph_search_shuffles_no_graph(large):
+    index, data, _ = large
+    plan = index._walked(Path.GRAPH, data[0][1].tolist(), 20, None, None, Settings())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInPandas" in plan
+
+
+def test_changes_beside_graphs(spark, tmp_path):
+    df = rows(spark, 400)
+    index = SpatialIndex.build(df, f"file://{tmp_path}/i", IndexOptions(num_neighbors=16), labels="labels", graph=True, shard_rows=200)
+    more = rows(spark, 50, 400, seed=6)
+    index.insert(more).delete(df.where("id % 3 = 0").select("id"))
+    live = df.where("id % 3 <> 0").unionByName(more)
+    got = ids(index.search(Q, 20, settings=Settings(query_search_list_size=200)))
+    assert len(set(got) & set(truth(live, Q, 20, "cosine"))) >= 19 and not any(k < 400 and k % 3 == 0 for k in got)
+    assert index.explain(BOX).first()["graphs"] and index.explain().first()["path"] == "graph"
+    assert ids(index.reindex().search(Q, 5, settings=Settings(query_search_list_size=300))) == truth(live, Q, 5, "cosine")
 
 
 def test_manifests(spark, tmp_path):
