@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +65,13 @@ class Level:
         self.ends = ends
         self.hashes, self.which, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
         self.totals = self.counts.astype(np.int64)  # until others' counts are known
-        # Buckets are the high bits, so each is one slice.
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
-        self.at = np.concatenate([[0], np.searchsorted(self.hashes, edges), [len(self.hashes)]])
+        # Buckets are the high bits, so each is one slice. Only those that the segment has are listed.
+        bucket = self.hashes >> np.uint64(64 - bits) if bits else np.zeros(len(self.hashes), np.uint64)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+        self.slices = {int(bucket[i]): (i, j) for i, j in pairwise(edges)}
 
     def answer(self, bucket: int, known: bytes, totals: bytes) -> None:
-        a, b = self.at[bucket], self.at[bucket + 1]
+        a, b = self.slices[bucket]
         some = np.flatnonzero(np.unpackbits(np.frombuffer(known, np.uint8), count=b - a))
         self.totals[a + some] = from_planes(totals, len(some)).astype(np.int64)
 
@@ -157,9 +159,8 @@ def _answered(texts: list[str | None], answers: pa.Table, order: int, bits: int)
 
 def _blocks_of(level: Level, order: int, seg: int) -> list[tuple]:
     out = []
-    for bucket, (a, b) in enumerate(zip(level.at[:-1].tolist(), level.at[1:].tolist(), strict=True)):
-        if b > a:
-            out.append((order, bucket, seg, b - a, planes(np.diff(level.hashes[a:b], prepend=np.uint64(0))), planes(level.counts[a:b])))
+    for bucket, (a, b) in level.slices.items():
+        out.append((order, bucket, seg, b - a, planes(np.diff(level.hashes[a:b], prepend=np.uint64(0))), planes(level.counts[a:b])))
     return out
 
 
@@ -201,12 +202,14 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
     sums its documents. Words and pairs go first; longer n-grams follow, an
     order a round, where others have both of the shorter ones. A frequent
     n-gram is one entry a segment, so no bucket is hot, and no count is dropped
-    or capped.
+    or capped. A segment lists the buckets that it has n-grams in, so blocks are
+    never more than n-grams.
     """
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     n_segments = max(1, -(-chars // segment_chars))
     bits = max(0, int(chars * NGRAMS_A_CHAR / bucket_ngrams).bit_length())
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("seg", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_segments)))
+    # By the row's number too: rows that repeat each other spread over segments.
+    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("seg", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_segments)))
     first = min(2, order)
 
     def blocks(rows: pa.Table) -> pa.Table:
