@@ -14,11 +14,13 @@ from quadrill.functions.boxes import Box, Columns
 ROWS_A_CELL = 100
 #: An extent below this has no width.
 FLAT = 1e-9
+#: Fixed value: the least positive float, which stands for a width of nothing.
+NO_WIDTH = 1.17549435e-38
 
 
 def _cells(low: float, high: float, n: int, at: Column) -> Column:
     """Column or row number of a coordinate; what lies outside goes to the edge."""
-    width = max(high - low, 1.17549435e-38)
+    width = max(high - low, NO_WIDTH)
     return F.least(F.greatest(F.floor((at - F.lit(low)) / F.lit(width) * F.lit(float(n))), F.lit(0)), F.lit(n - 1)).cast("int")
 
 
@@ -77,7 +79,7 @@ class Grid:
         """First and last column, first and last row that a query box reaches, computed as for rows."""
 
         def at(low: float, high: float, n: int, v: float) -> int:
-            share = (v - low) / max(high - low, 1.17549435e-38) * n
+            share = (v - low) / max(high - low, NO_WIDTH) * n
             return int(min(max(math.floor(share) if math.isfinite(share) else share, 0), n - 1))
 
         return (
