@@ -92,5 +92,12 @@ def spare_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let batches between the JVM and Python have ``rows`` rows at most, so that whole texts take little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
