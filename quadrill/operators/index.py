@@ -125,9 +125,14 @@ class SpatialIndex:
         limit = (settings or Settings.of(self.spark)).spatial_overflow_compact_threshold
         return self.compact() if self.manifest["overflow_rows"] >= limit else self
 
-    def insert(self, df: DataFrame, settings: Settings | None = None) -> SpatialIndex:
-        """Add rows; their postings go to the overflow, by the grid as it is, until a compaction."""
-        return self._commit(**self._inserted(df))._settled(settings)
+    def insert(self, df: DataFrame, settings: Settings | None = None, *, compact: bool = True) -> SpatialIndex:
+        """Add rows; their postings go to the overflow, by the grid as it is, until a compaction.
+
+        An overflow of ``spatial_overflow_compact_threshold`` rows is compacted
+        at once, unless ``compact`` is False: then the grid stays as it was.
+        """
+        new = self._commit(**self._inserted(df))
+        return new._settled(settings) if compact else new
 
     def delete(self, ids: DataFrame) -> SpatialIndex:
         """Bury the rows of ``ids`` (id) that the index has now; postings keep counting them until a compaction."""

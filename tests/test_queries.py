@@ -35,6 +35,17 @@ def test_same_rows(spark, duck, name):
     assert plain([tuple(r[c] for c in order) for r in df.collect()]) == right
 
 
+@pytest.mark.parametrize("name", ["index_sink_counts"])
+def test_same_rows_beyond_the_compact_threshold(spark, duck, name):
+    """Queries on an overflow find one however many rows are in it."""
+    key = "spark.quadrill.spatial_overflow_compact_threshold"
+    spark.conf.set(key, "50")
+    try:
+        test_same_rows(spark, duck, name)
+    finally:
+        spark.conf.unset(key)
+
+
 @pytest.mark.parametrize(("name", "truth", "least"), [("ann_graph_topk", "topk_cosine", 18), ("ann_graph_label_topk", "topk_label", 16), ("hybrid_seeded_topk", "topk_bbox_cosine", 16), ("sbq_hamming_topk", "topk_cosine", 5), ("index_graph_topk", "topk_cosine", 18), ("index_hybrid_topk", "topk_bbox_cosine", 18)])
 def test_recall(spark, name, truth, least):
     right = {r.id for r in core.QUERIES[truth](spark, SF).collect()}
