@@ -35,7 +35,7 @@ def test_same_rows(spark, duck, name):
     assert plain([tuple(r[c] for c in order) for r in df.collect()]) == right
 
 
-@pytest.mark.parametrize("name", ["index_sink_counts"])
+@pytest.mark.parametrize("name", ["index_sink_counts", "grid_seeds_with_overflow"])
 def test_same_rows_beyond_the_compact_threshold(spark, duck, name):
     """Queries on an overflow find one however many rows are in it."""
     key = "spark.quadrill.spatial_overflow_compact_threshold"
