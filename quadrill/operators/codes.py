@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +74,40 @@ class Coder:
 
         return encoded(embedding)
 
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Square of the least distance from a component of ``q`` to the values of each level: (level, component).
+
+        A little less than that, as levels and distances are rounded.
+        """
+        means, deviations = np.array(self.means), np.array(self.deviations)
+        steps = np.arange(1, self.bits + 1)[:, None] * (4 / (self.bits + 1)) - 2
+        edges = means[None] if self.bits == 1 else means + deviations * steps
+        none = np.full((1, len(means)), np.inf)
+        low, high = np.concatenate([-none, edges]), np.concatenate([edges, none])
+        slack = 1e-9 * (1 + np.abs(q) + np.abs(edges).max(axis=0))
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(low - q, q - high) - slack
+        return np.where(gap > 0, gap, 0.0) ** 2
+
+    def possible(self, code: Column | str, near: Sequence[tuple[Sequence[float], float]]) -> Column:
+        """True for codes of which some vector lies as near to one of the given points as its squared distance says."""
+        tables = [(self.gaps(np.array(q, dtype=np.float64)), most * (1 + 1e-9) + 1e-12) for q, most in near]
+        n, bits = len(self.means), self.bits
+
+        @F.pandas_udf("boolean")
+        def seen(column: pd.Series) -> pd.Series:
+            rows = np.flatnonzero(column.notna())
+            out = np.zeros(len(column), dtype=bool)
+            if len(rows):
+                words = np.stack(column.iloc[rows].to_list()).astype("<i8")
+                flat = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : n * bits]
+                levels = flat.reshape(len(words), n, bits).sum(axis=2)
+                for table, most in tables:
+                    out[rows] |= table[levels, np.arange(n)].sum(axis=1) <= most
+            return pd.Series(out)
+
+        return seen(code)
+
     def code_of(self, query: list[float]) -> list[int]:
         return self.encode(np.array([query], dtype=np.float64))[0].tolist()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -76,16 +77,36 @@ def search_by_row(df: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
     return rows.withColumn("distance", metrics.distance(metric, embedding, F.col("__query"))).drop("__query").orderBy("distance", id).limit(k)
 
 
-def rescored(df: DataFrame, code: str, coder: Coder, query: Sequence[float], k: int, *, rescore: int, id: str = "id", embedding: str = "embedding", metric: Metric | str = Metric.COSINE, dims: int = 0) -> DataFrame:
+def rescored(df: DataFrame, code: str, coder: Coder, query: Sequence[float], k: int, *, rescore: int, id: str = "id", embedding: str = "embedding", metric: Metric | str = Metric.COSINE, dims: int = 0, exact: bool = False) -> DataFrame:
     """The ``rescore`` rows of nearest code (``k`` at least), then the k nearest of them by their vectors.
 
-    Without rescoring (0) the order of the codes stands.
+    Without rescoring (0) the order of the codes stands. ``exact`` gives the k
+    nearest of all rows: the distance of the k-th of the rescored rows bounds
+    what can be nearer, and every other row whose code allows such a distance is
+    ranked by its vector too. Codes say nothing of inner products, nor of the
+    cosine if they are of fewer components; all rows are ranked then.
     """
     q = viewed(list(query), metric, dims)
     coded = df.where(F.col(code).isNotNull()).withColumn("code_distance", metrics.hamming(code, coder.code_of(q)))
     near = coded.orderBy("code_distance", id).limit(max(k, rescore))
-    found = near.withColumn("distance", metrics.distance(metric, embedding, [float(x) for x in query]))
-    return found.orderBy(*(("distance", id) if rescore else ("code_distance", id))).limit(k)
+    far = metrics.distance(metric, embedding, [float(x) for x in query])
+    if exact:
+        worst = near.select(far.alias("distance")).orderBy("distance").limit(k).agg(F.count("*").alias("n"), F.max("distance").alias("most")).first()
+        near = coded if worst["n"] < k else _within_reach(coded, code, coder, q, worst["most"], Metric.of(metric), dims)
+    found = near.withColumn("distance", far)
+    return found.orderBy(*(("distance", id) if rescore or exact else ("code_distance", id))).limit(k)
+
+
+def _within_reach(df: DataFrame, code: str, coder: Coder, q: list[float], most: float, metric: Metric, dims: int) -> DataFrame:
+    """Rows whose codes allow a distance of ``most``; all where that can't be told."""
+    if not math.isfinite(most):
+        return df
+    if metric is Metric.L2:
+        return df.where(coder.possible(code, [(q, most * most)]))
+    if metric is Metric.COSINE and not dims and math.fsum(x * x for x in q) >= 0.5:
+        # Of unit vectors the squared distance is twice the cosine's; vectors of (nearly) no length stay as they are.
+        return df.where(coder.possible(code, [(q, 2 * most), ([0.0] * len(q), metrics.EPSILON)]))
+    return df
 
 
 def coded(df: DataFrame, *, embedding: str = "embedding", metric: Metric | str = Metric.COSINE, bits: int = 1, dims: int = 0, name: str = "code") -> tuple[DataFrame, Coder]:

@@ -291,3 +291,15 @@ def test_rescoring(spark):
             ones = int(x > coder.means[k]) if bits == 1 else min(bits, max(0, int(np.floor(((x - coder.means[k]) / coder.deviations[k] + 2) / (4 / (bits + 1))))))
             assert bitstring[k * bits : (k + 1) * bits] == [1] * ones + [0] * (bits - ones)
         assert ids(s.rescored(coded, "code", coder, Q, 10, rescore=200, dims=dims)) == truth(df, Q, 10, "cosine")
+
+
+@pytest.mark.parametrize(("metric", "bits", "dims"), [("cosine", 1, 0), ("cosine", 2, 0), ("cosine", 2, 4), ("l2", 1, 0), ("l2", 3, 0), ("l2", 2, 4), ("ip", 2, 0)])
+def test_exact_rescoring_reads_what_codes_allow(spark, metric, bits, dims):
+    """Ten rows rescored at first, among them none of the nearest with small vectors."""
+    df = rows(spark, 400, null_every=9)
+    tiny = df.where("id < 20").select(*(F.transform("embedding", lambda x: x * 1e-5).cast("array<float>").alias(c) if c == "embedding" else (F.col("id") + 1000).alias("id") if c == "id" else F.col(c) for c in df.columns))
+    df = df.unionAll(tiny)
+    coded, coder = s.coded(df, bits=bits, metric=metric, dims=dims)
+    for query in (Q, [x * 1e-5 for x in Q], [0.0] * 8):
+        right = [r.id for r in s.search(df, query, 10, metric=metric).collect()]
+        assert ids(s.rescored(coded, "code", coder, query, 10, rescore=10, metric=metric, dims=dims, exact=True)) == right

@@ -65,6 +65,13 @@ def test_recall_of_a_query_without_a_hit(spark, monkeypatch, tmp_path):
     assert {r.q for r in core.QUERIES["recall_over_queries"](spark, SF).collect()} == {2, 3}
 
 
+def test_rescored_beyond_the_nearest_codes(spark, monkeypatch, tmp_path):
+    """More rows share the query's code than are rescored at first, and nearer ones have other codes."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=2).tolist(), 0) for k in range(8000)]
+    test_same_rows(spark, written(spark, monkeypatch, tmp_path, rows), "sbq_rescore_topk")
+
+
 @pytest.mark.parametrize(("name", "truth", "least"), [("ann_graph_topk", "topk_cosine", 18), ("ann_graph_label_topk", "topk_label", 16), ("hybrid_seeded_topk", "topk_bbox_cosine", 16), ("sbq_hamming_topk", "topk_cosine", 5), ("index_graph_topk", "topk_cosine", 18), ("index_hybrid_topk", "topk_bbox_cosine", 18)])
 def test_recall(spark, name, truth, least):
     right = {r.id for r in core.QUERIES[truth](spark, SF).collect()}
