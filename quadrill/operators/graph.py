@@ -139,8 +139,44 @@ class ShardGraph:
         for p, links in enumerate(self.links):
             if len(links) > self.degree:
                 self.links[p] = self.prune(p, links)
+        self.connect()
         return self
 
+    def connect(self) -> None:
+        """Let links lead to every point: pruning may have taken a point's last one.
+
+        Such a point gets a link from the nearest point that is reached and has
+        room: fewer than ``degree`` of its links are the first to reach a point.
+        Only others make way, so that what is reached stays reached.
+        """
+        n = len(self.points)
+        reached, firsts = np.zeros(n, dtype=bool), [set() for _ in range(n)]
+        room = np.full(n, self.degree)
+
+        def follow(p: int) -> None:
+            reached[p], todo = True, [p]
+            while todo:
+                a = todo.pop()
+                new = [x for x in dict.fromkeys(self.links[a]) if not reached[x]]
+                reached[new] = True
+                firsts[a].update(new)
+                room[a] -= len(new)
+                todo += new
+
+        if self.start is not None:
+            follow(self.start)
+        for p in range(n):
+            if not reached[p]:
+                near = np.flatnonzero(reached & (room > 0))
+                a = int(near[np.argmin(self._between(p, near))])
+                if len(self.links[a]) >= self.degree:
+                    others = np.array([x for x in self.links[a] if x not in firsts[a]])
+                    self.links[a].remove(int(others[np.argmax(self._between(a, others))]))
+                self.links[a].append(p)
+                firsts[a].add(p)
+                room[a] -= 1
+                follow(p)
+
     def reachable(self) -> int:
         """Points that links lead to from the start."""
         if self.start is None:

@@ -65,6 +65,14 @@ def test_recall_of_a_query_without_a_hit(spark, monkeypatch, tmp_path):
     assert {r.q for r in core.QUERIES["recall_over_queries"](spark, SF).collect()} == {2, 3}
 
 
+def test_every_point_of_a_graph_is_reached(spark, monkeypatch, tmp_path):
+    """Groups of equal and of nearly equal vectors, in which pruning leaves points without a link."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 64))
+    rows = [(k, (centres[k % 20] + rng.normal(size=64) * 0.02 * (k % 20 < 10)).tolist(), 0) for k in range(1200)]
+    test_same_rows(spark, written(spark, monkeypatch, tmp_path, rows), "graph_reachability")
+
+
 def test_rescored_beyond_the_nearest_codes(spark, monkeypatch, tmp_path):
     """More rows share the query's code than are rescored at first, and nearer ones have other codes."""
     rng = np.random.default_rng(6)
