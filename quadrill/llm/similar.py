@@ -1,4 +1,9 @@
-"""Near-duplicate documents by word shingles: wide SimHash, Golay keys of segments, exact Jaccard similarity."""
+"""Near-duplicate documents by word shingles: wide SimHash, Golay keys of segments, exact Jaccard similarity.
+
+SimHash joins what is very near. What it may miss at the threshold is found by
+a second join that misses nothing: two sets of so much in common share one of
+their first shingles in any one order.
+"""
 
 from __future__ import annotations
 
@@ -19,16 +24,22 @@ from quadrill.llm.words import batches, hashed_words, mix, ngrams, sliced
 WORDS, SIMILARITY = 5, 0.8
 #: A fingerprint is so many words of 64 bits; its first 16 * 23 bits are the segments, two a key.
 WIDTH, SEGMENT, TABLES = 6, 23, 8
+#: Tables that are looked at: near copies nearly always meet in one, and the rest is left to the exact join.
+USED_TABLES = 2
 #: The most codewords near a segment: its own, or its own and five others.
 NEAR = 6
 #: Standard deviations beyond which a distance of fingerprints settles what the similarity is.
 SURE = 5.0
+#: In the exact join more of them, and texts of fewer shingles are always compared.
+CERTAIN, SHORT = 8.0, 64
 #: Words of a fingerprint that go with a key, for a first comparison.
 FIRST = 2
 #: Up to FEW fingerprints of a key are compared pair by pair; more are joined by nearest links, BLOCK at a time.
 FEW, BLOCK = 32, 2048
 #: One fingerprint in PILOT shows which keys are frequent, and more than HEAVY rows of one are dealt out.
 PILOT, HEAVY = 64, 4096
+#: A shingle in so many texts of the pilot is a common one; at most MOST_COMMON are known as such.
+COMMON, MOST_COMMON = 3, 100_000
 
 
 def shingles(texts: list[str | None], words_a_shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +63,13 @@ def shingles(texts: list[str | None], words_a_shingle: int = WORDS) -> tuple[np.
 
 def fingerprints(texts: list[str | None], words_a_shingle: int = WORDS) -> np.ndarray:
     """``WIDTH`` words of 64 bits a text: a bit is set if over half of the distinct shingles set it; zeros for no words."""
+    return described(texts, words_a_shingle)[:, :WIDTH]
+
+
+def described(texts: list[str | None], words_a_shingle: int = WORDS) -> np.ndarray:
+    """Of each text its fingerprint, 128 bits that tell sets of shingles apart, and the number of distinct shingles."""
     h, of = shingles(texts, words_a_shingle)
-    out = np.zeros((len(texts), WIDTH), dtype=np.uint64)
+    out = np.zeros((len(texts), WIDTH + 3), dtype=np.uint64)
     if len(h):
         first = np.flatnonzero(np.diff(of, prepend=-1))
         n = np.diff([*first, len(of)])
@@ -61,24 +77,27 @@ def fingerprints(texts: list[str | None], words_a_shingle: int = WORDS) -> np.nd
             bits = np.unpackbits(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             votes = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
             out[of[first], k] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        for k in (WIDTH, WIDTH + 1):
+            out[of[first], k] = np.add.reduceat(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), first)
+        out[of[first], WIDTH + 2] = n
     return out
 
 
-def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys(fps: np.ndarray, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
     """Key and row of each fingerprint's keys.
 
     A segment goes to the index of its codeword and of those that it reaches
     with one more error; two segments that differ in two bits or fewer always
     have one in common, and often with more. A key is (table, a codeword near
     its first segment, one near its second): similar texts need a codeword in
-    common in both segments of one of the eight tables.
+    common in both segments of one of the (eight) tables.
     """
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, : 2 * TABLES * SEGMENT]
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, : 2 * tables * SEGMENT]
     weights = 1 << np.arange(SEGMENT, dtype=np.int32)
-    segments = (bits.reshape(len(fps), 2 * TABLES, SEGMENT).astype(np.int32) * weights).sum(axis=2).astype(np.int32)
-    near = np.sort(golay().near(segments.reshape(-1), SEGMENT), axis=1)[:, : -NEAR - 1 : -1].reshape(len(fps), TABLES, 2, NEAR)
+    segments = (bits.reshape(len(fps), 2 * tables, SEGMENT).astype(np.int32) * weights).sum(axis=2).astype(np.int32)
+    near = np.sort(golay().near(segments.reshape(-1), SEGMENT), axis=1)[:, : -NEAR - 1 : -1].reshape(len(fps), tables, 2, NEAR)
     a, b = near[:, :, 0, :, None].astype(np.int64), near[:, :, 1, None, :].astype(np.int64)
-    key = (np.arange(TABLES)[None, :, None, None] << 24) | (a << 12) | b
+    key = (np.arange(tables)[None, :, None, None] << 24) | (a << 12) | b
     row, *rest = np.nonzero((a >= 0) & (b >= 0))
     return key[(row, *rest)], row
 
@@ -88,10 +107,10 @@ def _share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bounds(similarity: float, bits: int) -> tuple[int, int]:
+def bounds(similarity: float, bits: int, sure: float = SURE) -> tuple[int, int]:
     """Up to the first distance texts are surely this similar; beyond the second surely not."""
     p = _share(similarity)
-    spread = SURE * math.sqrt(bits * p * (1 - p))
+    spread = sure * math.sqrt(bits * p * (1 - p))
     return max(0, math.floor(bits * p - spread)), math.ceil(bits * p + spread)
 
 
@@ -208,7 +227,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(chunks, 512):
                 fps = np.stack([batch.column(f"w{k}").to_numpy() for k in range(WIDTH)], axis=1)
-                key, row = keys(fps)
+                key, row = keys(fps, USED_TABLES)
                 yield pa.record_batch({"key": pa.array(key.astype(np.int32)), "node": pa.array(batch.column("node").to_numpy()[row])} | {x: pa.array(fps[row, k]) for k, x in enumerate(PARTS)})
 
         return some.mapInArrow(of, ", ".join(["key int, node long", *(f"{x} long" for x in PARTS)]))
@@ -245,13 +264,17 @@ def jaccard(a: list[str | None], b: list[str | None], words_a_shingle: int = WOR
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_a_shingle: int, similarity: float) -> DataFrame:
-    """The pairs of at least this similarity: by their fingerprints where these settle it, else by their texts."""
-    low, high = bounds(similarity, 64 * WIDTH)
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_a_shingle: int, similarity: float, sure: float = SURE, short: int = 0) -> DataFrame:
+    """The pairs of at least this similarity: by their fingerprints where these settle it, else by their texts.
+
+    Texts of fewer than ``short`` shingles are compared whatever their fingerprints are.
+    """
+    low, high = bounds(similarity, 64 * WIDTH, sure)
     for side in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.array(*(f"w{k}" for k in range(WIDTH))).alias(f"fp_{side}")), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.array(*(f"w{k}" for k in range(WIDTH))).alias(f"fp_{side}"), F.col("size").alias(f"n_{side}")), side)
     bits: Column = sum((F.bit_count(F.col("fp_u")[k].bitwiseXOR(F.col("fp_v")[k])) for k in range(WIDTH)), F.lit(0))
-    near = materialise(pairs.select("u", "v", bits.alias("bits")).where(F.col("bits") <= high), "near-pairs")
+    some = pairs.select("u", "v", bits.alias("bits"), F.least("n_u", "n_v").alias("n"))
+    near = materialise(some.where((F.col("bits") <= high) | (F.col("n") < short)).drop("n"), "near-pairs")
     open_pairs = near.where(F.col("bits") > low).select("u", "v")
     for side in ("u", "v"):
         text = texts.select("row", F.col("text").alias(f"text_{side}"))
@@ -268,23 +291,166 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_a_shin
     return near.where(F.col("bits") <= low).select("u", "v").unionByName(checked)
 
 
+def prefixes(texts: list[str | None], similarity: float, common: tuple[np.ndarray, np.ndarray], words_a_shingle: int = WORDS) -> tuple[np.ndarray, ...]:
+    """The first shingles of each text, common ones last: hash, text, place, number of the text's shingles, how common.
+
+    Of n shingles so many come first that fewer than the least number in common
+    are left: texts of this similarity share one of them. ``common`` has sorted
+    hashes and their counts; what else is in it changes no result.
+    """
+    h, of = shingles(texts, words_a_shingle)
+    known, counts = common
+    c = np.zeros(len(h), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        c = np.where(known[at] == h, counts[at], 0)
+    order = np.lexsort((h, c, of))
+    h, of, c = h[order], of[order], c[order]
+    n = np.bincount(of, minlength=len(texts)).astype(np.int64)
+    place = np.arange(len(h)) - (np.cumsum(n) - n)[of]
+    first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[of]
+    return h[first], of[first], place[first], n[of[first]], c[first]
+
+
+def _common(texts: DataFrame, words_a_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles that are in several texts of the pilot."""
+
+    def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(chunks):
+            all_texts = batch.column("text").to_pylist()
+            for part in batches(all_texts):
+                yield pa.record_batch([pa.array(shingles(all_texts[part], words_a_shingle)[0].view(np.int64))], names=["h"])
+
+    pilot = texts.where(F.pmod(F.xxhash64("row"), F.lit(PILOT)) == 0).select("text").mapInArrow(of, "h long")
+    found = pilot.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+POSTINGS = ["key", "root", "node", "size", "place"]
+
+
+def _postings(some: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray], words_a_shingle: int) -> DataFrame:
+    """A row for each of the first shingles of (node, root, text).
+
+    A very common shingle's nodes are dealt into blocks and go to a key for
+    every pair of their block and another: no key has all of them.
+    """
+
+    def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(chunks):
+            all_texts = batch.column("text").to_pylist()
+            nodes, roots = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+            for part in batches(all_texts):
+                h, text, place, n, c = prefixes(all_texts[part], similarity, common, words_a_shingle)
+                blocks = np.maximum(1, -(-c * PILOT // HEAVY))
+                row = np.repeat(np.arange(len(h)), blocks)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                node = nodes[part][text[row]]
+                own = (mix(node.astype(np.uint64)) % blocks[row].astype(np.uint64)).astype(np.int64)
+                pair = (np.minimum(own, other) << 24) + np.maximum(own, other)
+                key = mix(h[row] + mix(pair.astype(np.uint64) + np.uint64(1))).view(np.int64).astype(np.int32)
+                yield pa.record_batch([pa.array(key), pa.array(roots[part][text[row]]), pa.array(node), pa.array(n[row].astype(np.int32)), pa.array(place[row].astype(np.int32))], names=POSTINGS)
+
+    return some.select("node", "root", "text").mapInArrow(of, "key int, root long, node long, size int, place int")
+
+
+def _crossing(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of nodes of one key and different roots that can be as similar, from whole keys in order.
+
+    If a pair's first shingle in common is at these places, so many can follow
+    at most; a pair is found where that is enough.
+    """
+
+    def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (_, root, _, n, at), (_, roots, _, m, place) = a, b
+        need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        return (root != roots) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - place) >= need)
+
+    if not rows.shape[1]:
+        return
+    starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1))
+    sizes = np.diff([*starts, rows.shape[1]])
+    mixed = np.minimum.reduceat(rows[1], starts) != np.maximum.reduceat(rows[1], starts)
+    some = rows[:, np.repeat(mixed & (sizes <= FEW), sizes)]
+    for step in range(1, some.shape[1]):
+        same = np.flatnonzero(some[0, step:] == some[0, :-step])
+        if not len(same):
+            break
+        same = same[able(some[:, same], some[:, same + step])]
+        yield some[2][np.stack([same, same + step])]
+    for k in np.flatnonzero(mixed & (sizes > FEW)).tolist():
+        own = rows[:, starts[k] : starts[k] + sizes[k]]
+        own = own[:, np.argsort(own[1], kind="stable")]
+        ends = np.searchsorted(own[1], own[1], side="right")
+        for i in range(own.shape[1]):
+            after = own[:, ends[i] :]
+            found = after[2, able(own[:, i : i + 1], after)]
+            yield np.stack([np.full(len(found), own[2, i]), found])
+
+
+def exact_candidates(nodes: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, words_a_shingle: int = WORDS) -> DataFrame:
+    """(u, v): pairs of nodes under different roots, among them all of this similarity.
+
+    ``roots`` (node, root) are of nodes that are linked already: of a large
+    group of near copies no pairs are made, only those with other texts.
+    """
+    spark = nodes.sparkSession
+    rooted = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    some = texts.join(rooted.hint("shuffle_hash"), F.col("row") == F.col("node")).select("node", "root", "text")
+    postings = _postings(some, similarity, _common(texts, words_a_shingle), words_a_shingle)
+
+    def of(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+            both = np.unique(np.sort(both, axis=0), axis=1)
+            return pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+        def compared(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for pairs in _crossing(np.concatenate([np.empty((len(POSTINGS), 0), np.int64), *parts], axis=1), similarity):
+                held.append(pairs)
+                n += pairs.shape[1]
+                if n > 100_000:
+                    yield out(held)
+                    held, n = [], 0
+            yield out(held)
+
+        left: list[np.ndarray] = []  # rows of the last key, which may go on
+        for batch in chunks:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in POSTINGS])
+            last = int(np.searchsorted(new[0], new[0, -1]))
+            if last or (left and left[0][0, 0] != new[0, 0]):
+                yield from compared([*left, new[:, :last]])
+                left = []
+            left.append(new[:, last:])
+        yield from compared(left)
+
+    by_key = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    return by_key.select(*POSTINGS).mapInArrow(of, "u long, v long").distinct()
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_a_shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near-duplicates, with all their columns.
 
     Two texts are linked if they have ``similarity`` of their distinct shingles
     of five words in common (Jaccard); a group is what links reach. Words are
     lower-cased, punctuation parts them; a text of fewer words is one shingle,
-    null and empty texts are alike. Candidates share a Golay key (see ``keys``):
-    of pairs at 0.8 some 97 in 100 do, at 0.9 all but a few in 10,000.
+    null and empty texts are alike. Texts that share a Golay key (see ``keys``)
+    are compared first, which joins near copies; then all others that can be as
+    similar (see ``exact_candidates``), so that no link is left out.
 
     Every row is a document of its own, whether it repeats an id or has none.
     The row with a group's smallest id stays (of rows that repeat it, or where
     no row has one, the first). An empty table gives no rows. Rows of equal
-    fingerprints meet in one node before any join. A key with very many nodes is
+    sets of shingles meet in one node before any join. A key with very many nodes is
     dealt out, and nodes beyond ``FEW`` are joined by nearest links, not by all
     pairs: no group meets in one task or grows by its square.
     """
-    names, fields = docs.columns, [f"w{k}" for k in range(WIDTH)]
+    names, fields = docs.columns, [*(f"w{k}" for k in range(WIDTH)), "d0", "d1", "size"]
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     numbered = bucketed(plain.withColumn("row", F.monotonically_increasing_id()), "row", "numbered")
     texts = numbered.select("row", F.col(f"c{names.index(text)}").alias("text"), F.col(f"c{names.index(doc_id)}").alias("id"))
@@ -293,13 +459,17 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
         for batch in sliced(chunks):
             all_texts, found = batch.column("text").to_pylist(), []
             for part in batches(all_texts):
-                found.append(fingerprints(all_texts[part], words_a_shingle).view(np.int64))
-            fps = np.concatenate([np.empty((0, WIDTH), np.int64), *found])
-            yield pa.record_batch([batch.column("row"), *(pa.array(fps[:, k]) for k in range(WIDTH))], names=["row", *fields])
+                found.append(described(all_texts[part], words_a_shingle).view(np.int64))
+            fps = np.concatenate([np.empty((0, len(fields)), np.int64), *found])
+            yield pa.record_batch([batch.column("row"), *(pa.array(fps[:, k]) for k in range(len(fields)))], names=["row", *fields])
 
     fps = materialise(texts.select("row", "text").mapInArrow(of, ", ".join(["row long", *(f"{x} long" for x in fields)])), "fingerprints")
     nodes = materialise(fps.groupBy(*fields).agg(F.min("row").alias("node")), "nodes").repartition(shuffle_parts(docs.sparkSession))
-    linked = components(_verified(materialise(candidates(nodes, similarity), "candidates"), nodes, texts, words_a_shingle, similarity))
+    near = components(_verified(materialise(candidates(nodes, similarity), "candidates"), nodes, texts, words_a_shingle, similarity))
+    near = materialise(near.where("node <> root"), "near-copies")
+    more = materialise(exact_candidates(nodes, texts, near, similarity, words_a_shingle), "exact-candidates")
+    more = _verified(more, nodes, texts, words_a_shingle, similarity, CERTAIN, SHORT)
+    linked = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     # The best row of each node, then of each group of nodes; few nodes have links.
     best = fps.join(texts.select("row", "id"), "row").groupBy(*fields).agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))

@@ -79,6 +79,25 @@ def test_recall_at_the_threshold():
     assert met >= 0.95 * n
 
 
+@pytest.mark.parametrize("few", [2, 32])
+def test_no_link_is_left_out(spark, monkeypatch, few):
+    """Texts of few and many shingles at the threshold itself, and chains of them."""
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "PILOT", 2)
+    monkeypatch.setattr(similar, "HEAVY", 16)
+    rng, rows = random.Random(12), []
+    for size in [8, 9, 13, 22, 40, 49, 94, 184, 364] * 24:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        rows.append(" ".join(words))
+        for _ in range(2):  # of n shingles one in nine is new, at the end
+            words = words[(size - 4) // 9 :] + [f"w{rng.randrange(10**6)}" for _ in range((size - 4) // 9)]
+            rows.append(" ".join(words))
+    words = [f"c{k}" for k in range(60)]
+    rows += [" ".join([*words, *(f"t{k}x{i}" for i in range(n))]) for k in range(40) for n in (5, 14, 60)]
+    rows = list(enumerate(rows))
+    assert run(spark, rows) == groups(rows)
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (3, ""), (4, " \n"), (None, "..."), (7, "one two"), (7, "One  TWO!"), (6, "one two three"), (None, "x y z"), (1, "word " * 50000), (2, "word " * 40000), (8, "x y z")]
     assert run(spark, rows) == groups(rows) == {1, 4, 6, 8, 10}
